@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dissona.llm import bpe_codec, token_counts, token_shards
+from dissona.llm import audio, bpe_codec, language_id, token_counts, token_shards
 from dissona.llm.shared import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,3 +35,14 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.shard_digests(table(spark, sf_dir, "documents"), BYTE_BPE, spark)
+
+
+@query
+def op9_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.media_digests(audio.text_media(table(spark, sf_dir, "documents")))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.language_id(docs, language_id.fit(docs))
