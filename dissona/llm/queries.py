@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dissona.llm import audio, bpe_codec, decontaminate, language_id, pii, token_counts, token_shards
+from dissona.llm import audio, bpe_codec, decontaminate, language_id, minhash_dedup, pii, token_counts, token_shards
 from dissona.llm.shared import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,3 +57,23 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+NEAR_SQL = r"""
+lowered AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {source}),
+shingles AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS s FROM lowered),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT doc_id, doc_id AS r FROM lowered UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r),
+near AS (SELECT l.doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(r) AS component_id, l.doc_id = min(r) AS kept
+  FROM lowered l JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY l.doc_id)"""
+
+SQL["op6_minhash_dedup"] = "WITH RECURSIVE " + NEAR_SQL.format(source="documents") + " SELECT * FROM near"
