@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dissona.llm import audio, bpe_codec, decontaminate, language_id, minhash_dedup, pii, token_counts, token_shards
+from dissona.llm import audio, bpe_codec, chat_format, decontaminate, language_id, minhash_dedup, pii, token_counts, token_shards, url_filters
 from dissona.llm.shared import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -77,3 +77,31 @@ near AS (SELECT l.doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(r) AS c
   FROM lowered l JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY l.doc_id)"""
 
 SQL["op6_minhash_dedup"] = "WITH RECURSIVE " + NEAR_SQL.format(source="documents") + " SELECT * FROM near"
+
+
+@query
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judged(table(spark, sf_dir, "pages"))
+
+
+SQL["op3_url_filters"] = url_filters.SQL
+
+
+@query
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return chat_format.chat_digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+
+
+SQL["op5_chat_format"] = r"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) IS DISTINCT FROM role AS opens,
+  length(regexp_replace(text, '([<\[])(~*)(\||/?s>|/?INST\])', '\1~\2\3', 'g')) AS text_chars, length(regexp_replace(role, '([<\[])(~*)(\||/?s>|/?INST\])', '\1~\2\3', 'g')) AS role_chars FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(text_chars) + sum(CASE WHEN opens THEN role_chars + 23 ELSE 8 END))::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
