@@ -1,58 +1,19 @@
-"""Session folders, Arrow helpers and small Spark utilities used by every operator here."""
+"""Arrow helpers used by every operator here, and the session folders of the library."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that the vectorised kernels hold at a time; a longer single text is held alone.
-SLICE_BYTES = 1 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
-
-    Only where it is unset (tests on one machine) a temporary folder is made and set."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(conf)
-        return conf
-    made = spark.sparkContext.getCheckpointDir()
-    if not made:
-        made = "file://" + tempfile.mkdtemp(prefix="dissona-")
-        spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; removed when the driver's Python ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/dissona-{uuid.uuid4().hex}-{name}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through Hadoop's file system; a stopped session is no error."""
-    with contextlib.suppress(Exception):
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+from dissona.sources.scratch import scratch, shared_dir, stored, table
 
+__all__ = ["scratch", "shared_dir", "slices", "stored", "table", "utf8"]
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to a Parquet table in the shared folder and read it back: the lineage ends there."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of text that the vectorised kernels hold at a time; a longer single text is held alone.
+SLICE_BYTES = 1 << 20
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,16 +39,3 @@ def slices(data: np.ndarray, offsets: np.ndarray, most: int = SLICE_BYTES) -> It
         j = min(j, i + 20_000, n)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
-
-
-def batches(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Only the needed columns; extra ones, whatever their names, never reach an operator's plan."""
-    return df.select(*names)
