@@ -1,7 +1 @@
 """Training-data operators: one module per operator, plus the driver queries in `queries.py`."""
-
-import os
-
-# the networks here multiply small matrices: one thread each is fastest, and Spark already runs a worker per core
-for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
-    os.environ.setdefault(_name, "1")

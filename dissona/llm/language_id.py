@@ -113,7 +113,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Train on at most `sample` labelled texts that are not held out; None if there are none.
 
     The rows are the smallest by a hash of the key times the number of rows of their language, so each language gives
-    about as many; of each, PLACES pieces of PLACE_CHARS characters from all over the text are read."""
+    about as many; of each, PLACES pieces of PLACE_CHARS characters from all over the text are read. Only rows below
+    the place where about twice the sample is expected are ordered, so tasks send no more than that in all."""
     rows = docs.select(docs[key].alias("k"), docs[text].alias("t"), docs[lang].alias("l"))
     rows = rows.where(~held_out(F.col("k")) & F.col("k").isNotNull() & F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
     numbers = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
@@ -121,8 +122,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         return None
     weight = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])[F.col("l")]
     place = [F.substring(F.col("t"), (F.floor(F.length("t") * i / PLACES) + 1).cast("int"), F.lit(PLACE_CHARS)) for i in range(PLACES)]
+    share = 1.0  # of each language as many: the least m with sum(min(number, m)) >= twice the sample
+    while sum(min(v, share) for v in numbers.values()) < min(2 * sample, sum(numbers.values())):
+        share *= 1.05
     unit = (F.xxhash64(F.col("k").cast("string")).bitwiseAND(F.lit((1 << 40) - 1))) * weight
-    picked = rows.select("k", unit.alias("u"), "l", F.array(*place).alias("p")).orderBy("u", "k", "l", "p").limit(sample).collect()
+    picked = rows.select("k", unit.alias("u"), "l", F.array(*place).alias("p")).where(F.col("u") <= F.lit(int(share * (1 << 40)))).orderBy("u", "k", "l", "p").limit(sample).collect()
     pairs = sorted({(p.encode(), r["l"]) for r in picked for p in r["p"] if any(c.isalpha() for c in p)})
     return train([p for p, _ in pairs], [v for _, v in pairs])
 

@@ -183,7 +183,10 @@ def fit(docs: DataFrame | None = None, key: str = "doc_id", text: str = "text",
         rows = docs.select(docs[key].alias("k"), docs[text].alias("t")).where(F.col("t").rlike("[0-9@]"))
         first = F.expr("regexp_instr(t, '[0-9@]')")
         part = F.substring(F.col("t"), F.greatest(first - CONTEXT // 2, F.lit(1)), F.lit(CONTEXT)).alias("p")
-        picked = rows.select(F.xxhash64(F.col("k").cast("string")).alias("u"), "k", part).orderBy("u", "k", "p").limit(sample).collect()
+        unit = F.xxhash64(F.col("k").cast("string")).bitwiseAND(F.lit((1 << 40) - 1))
+        n = rows.count()  # only rows below the place where twice the sample is expected are ordered
+        near = int(min(1.0, 2 * sample / max(n, 1)) * (1 << 40))
+        picked = rows.select(unit.alias("u"), "k", part).where(F.col("u").isNotNull() & (F.col("u") <= near)).orderBy("u", "k", "p").limit(sample).collect()
         texts = tuple(r["p"] for r in picked)
     return _train(texts, steps)
 
