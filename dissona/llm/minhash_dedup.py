@@ -7,9 +7,10 @@ exhaustively. In larger ones every set is compared with one pivot, and the node
 bring the expected recall of a pair at the threshold over 0.9999.
 
 Only connectivity is asked for, so once links are confirmed, a node whose sets are already of one component is closed,
-and a node with few sets outside its pivot's component compares only those with all. Thus a group of thousands of
-near copies costs a star, not its square. Nodes at the last level are compared in full. Candidate pairs pass a sketch
-of 128 bits and the ratio of sizes, and are confirmed on the full shingle sets, recomputed from the texts.
+and one whose sets outside its largest component are few enough is compared across components and closed; others
+branch. Thus a group of thousands of near copies costs a star, not its square. Nodes at the last level are compared
+across components whatever their size. Candidate pairs pass a sketch of 128 bits and the ratio of sizes, and are
+confirmed on the full shingle sets, recomputed from the texts.
 
 Equal sets collapse to one class first, by size and two 64-bit sums of their hashes, and never enter the trees twice."""
 
@@ -28,7 +29,9 @@ from dissona.llm.shared import slices, stored, utf8
 from dissona.llm.words import shingle_sets, split_words
 from dissona.operators.components import components
 
-T, TREES, SMALL, LEVELS = 128, 8, 24, 7
+T, TREES, SMALL, LEVELS = 128, 8, 24, 8
+FULL = 1 << 16  # sets outside the largest component times sets, up to which a node is compared across components
+SENT = 250_000  # ids (8 bytes each) that may be broadcast
 ROOT, BRANCH = 2.35, 1.25  # coordinates that a root, or a later node, selects on average
 SKETCH_LEAST = 98  # equal bits of 128: over six standard deviations below a pair at 0.85, whatever its luck
 _RNG = np.random.default_rng(20)
@@ -102,6 +105,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, threshold: int) -> Dat
                 keep = (100 * common >= threshold * union) & (union > 0)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], schema=schema).filter(pa.array(keep))
 
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    few = stored(ids, "ids")
+    if few.count() <= SENT:  # so few ids reach the tasks whole, and no text is shuffled to find theirs
+        few = F.broadcast(few)
+    texts = stored(texts.join(few, "id", "left_semi").dropDuplicates(["id"]), "texts")
     x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
@@ -149,41 +157,50 @@ def _class_links(some: DataFrame, classes: DataFrame, texts: DataFrame, n: int,
     spark = some.sparkSession
     sets = some.join(classes.select(F.col("rep").alias("id"), "n", "hi", "lo"), ["id", "n", "hi", "lo"], "left_semi").dropDuplicates(["id", "n", "hi", "lo"])
     sets = stored(sets.select("id", "n", "s1", "s2", "sig"), "classes")
-    entries = _children(sets, None, ROOT)
-    none = spark.createDataFrame([], "a long, b long")
-    links, labels, pool = none, spark.createDataFrame([], "id long, component long"), None
+    labels = stored(spark.createDataFrame([], "id long, component long"), "labels")
+    entries, nodes = _children(sets, None, ROOT), None
+    order = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
     for level in range(1, LEVELS + 1):
-        last = level == LEVELS
-        labelled = entries.join(labels, "id", "left").select("key", "id", "n", "s1", "s2", F.coalesce("component", "id").alias("c")) if level > 1 else entries.select("key", "id", "n", "s1", "s2", F.col("id").alias("c"))
-        order = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
-        nodes = labelled.groupBy("key").agg(F.count("*").alias("m"), F.min(order).alias("p"), F.min_by("c", order).alias("pc"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("m > 1 AND c1 != c2")
-        inside = labelled.join(nodes.select("key", "m", "pc", F.col("p.id").alias("pivot")), "key")
-        inside = stored(inside, f"nodes{level}")
-        if level > 1:  # sets outside the pivot's component, and one of them to be the next pivot
-            apart = inside.where("c != pc").groupBy("key").agg(F.count("*").alias("u"), F.min_by("id", order).alias("other"))
-            inside = inside.join(apart, "key").withColumn("pivot", F.when(F.col("u") > SMALL, F.col("other")).otherwise(F.col("pivot")))
-        else:
-            inside = inside.withColumn("u", F.col("m") - 1)
-        small = (F.col("u") < SMALL) | F.lit(last)
-        # few sets outside the pivot's component are compared with all; the rest of a larger node with its pivot
-        few, all_ = inside.where(small & (F.col("c") != F.col("pc"))), inside.where(small)
-        once = (F.col("y.c") == F.col("y.pc")) | (F.col("x.id") < F.col("y.id"))
-        cross = few.alias("x").join(all_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & once & alike(threshold)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        large = inside.where(~small)
-        pivots = large.where("id = pivot")
-        star = large.alias("x").join(pivots.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & alike(threshold)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        pairs = stored(cross.unionAll(star).distinct(), f"pairs{level}")
-        if pool is None:  # every later pair is of sets that stand in a large node now
-            need = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionAll(large.select("id")).distinct()
-            pool = stored(texts.join(need, "id", "left_semi").dropDuplicates(["id"]), "texts")
-        found = stored(confirmed(pairs, pool, n, threshold), f"links{level}")
-        if not found.isEmpty():
-            links = links.unionAll(found)
-            labels = stored(components(links), f"labels{level}")
-        if last:
-            break
-        left = large.select("key", "id").join(sets, "id")
-        entries = _children(left, "key", BRANCH)
-        if large.isEmpty():
+        parts = []
+        if nodes is not None:  # nodes that the links found so far have not closed
+            named = nodes.join(labels, "id", "left").select("key", "id", "n", "s1", "s2", F.coalesce("component", "id").alias("c"))
+            sizes = named.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("m"), F.max(F.struct("k", "c")).alias("top"))
+            sizes = sizes.select("key", "m", (F.col("m") - F.col("top.k")).alias("u"), F.col("top.c").alias("pc")).where("u > 0")
+            opened = stored(named.join(sizes, "key"), "open")
+            small = (F.col("u") * F.col("m") <= FULL) | F.lit(level == LEVELS)
+            settled = opened.where(small)
+            once = (F.col("y.c") == F.col("y.pc")) | (F.col("x.id") < F.col("y.id"))
+            parts.append(_met(settled.where("c != pc"), settled, (F.col("x.c") != F.col("y.c")) & once, threshold))
+            grown = opened.where(~small)
+            entries = None
+            if not grown.isEmpty():  # a set's values go once to all of its nodes
+                entries = _children(sets.join(grown.groupBy("id").agg(F.collect_list("key").alias("at")), "id").withColumn("node", F.explode("at")), "node", BRANCH)
+        if entries is not None:
+            known = entries.groupBy("key").agg(F.count("*").alias("m"), F.min(order).alias("p")).where("m > 1")
+            made = stored(entries.join(known.select("key", "m", F.col("p.id").alias("pivot")), "key"), "nodes")
+            less, more = made.where(F.col("m") <= SMALL), made.where(F.col("m") > SMALL)
+            parts += [_met(less, less, F.col("x.id") < F.col("y.id"), threshold), _met(more, more.where("id = pivot"), F.col("x.id") != F.col("y.id"), threshold)]
+            nodes = more
+        pairs = stored(reduce(DataFrame.unionAll, parts).distinct(), "pairs")
+        labels = _merged(labels, stored(confirmed(pairs, texts, n, threshold), "links"))
+        if entries is None or nodes.isEmpty():
             break
     return labels
+
+
+def _met(x: DataFrame, y: DataFrame, also, threshold: int) -> DataFrame:
+    """(a, b), a < b: sets of x and y that share a node and can be alike."""
+    met = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & also & alike(threshold))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, component) after new links (a, b): only the graph of the components that they tie is worked on."""
+    if links.isEmpty():
+        return labels
+    at = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+    tied = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    new = stored(components(tied.distinct()).select(F.col("id").alias("was"), F.col("component").alias("now")), "merged")
+    old = labels.join(new, F.col("component") == F.col("was"), "left").select("id", F.coalesce("now", "component").alias("component"))
+    fresh = new.join(labels, F.col("was") == F.col("id"), "left_anti").select(F.col("was").alias("id"), F.col("now").alias("component"))
+    return stored(old.unionAll(fresh), "labels")

@@ -211,6 +211,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     want = {k: (*v, v[1] == k) for k, v in near(texts).items()}
     for small in (24, 3):  # the second one makes most nodes large, down to the last level
         monkeypatch.setattr(minhash_dedup, "SMALL", small)
+        monkeypatch.setattr(minhash_dedup, "FULL", small * small)
         assert {r["doc_id"]: tuple(r)[1:] for r in minhash_dedup.near_duplicates(df).collect()} == want
 
 
