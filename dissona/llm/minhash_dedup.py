@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dissona.llm.pretoken import mix
-from dissona.llm.shared import slices, stored, utf8
+from dissona.llm.shared import cuts, slices, stored, utf8
 from dissona.llm.words import shingle_sets, split_words
 from dissona.operators.components import components
 
@@ -89,12 +89,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, threshold: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                both = []
-                for c in (2, 3):
-                    data, offsets = utf8(part.column(c))
-                    h, words, _ = split_words(data, offsets)
+            sides = [utf8(batch.column(c)) for c in (2, 3)]
+            for lo, hi in cuts(sides[0][1] + sides[1][1]):
+                part, both = batch.slice(lo, hi - lo), []
+                for data, offsets in sides:
+                    h, words, _ = split_words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                     value, first = shingle_sets(h, words, n)
                     both.append((value, np.repeat(np.arange(part.num_rows), np.diff(first)), np.diff(first)))
                 value, row = (np.concatenate([both[0][k], both[1][k]]) for k in (0, 1))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 from dissona.sources.scratch import scratch, shared_dir, stored, table
 
-__all__ = ["scratch", "shared_dir", "slices", "stored", "table", "utf8"]
+__all__ = ["cuts", "scratch", "shared_dir", "slices", "stored", "table", "utf8"]
 
 #: Bytes of text that the vectorised kernels hold at a time; a longer single text is held alone.
 SLICE_BYTES = 1 << 20
@@ -31,11 +31,17 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - lo
 
 
-def slices(data: np.ndarray, offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Row ranges of about `most` bytes: (first, end, bytes, offsets from 0). Each text stays whole."""
+def cuts(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of about `most` bytes and at most 20,000 rows; a longer row stands alone."""
     n, i = len(offsets) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         j = min(j, i + 20_000, n)
-        yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        yield i, j
         i = j
+
+
+def slices(data: np.ndarray, offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The same with their texts: (first, end, bytes, offsets from 0). Each text stays whole."""
+    for i, j in cuts(offsets, most):
+        yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
