@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dissona.functions import bounds, strings
 from dissona.operators import agreement, assoc, bags, hierarchy, ordered, setsim, swaps
 from dissona.plans import sinks
+from dissona.plans.scan import scan
 from dissona.sources.scratch import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -493,3 +494,25 @@ def lsp_diagnostics(spark, sf_dir):
     return d.select("uri", "severity", "code", F.col("range.start_line").alias("start_line"))
 
 
+
+
+# -- the whole scan, over sources written from part names
+
+SOURCES = """p AS (SELECT p_partkey AS k, 'v_' || split_part(p_name, ' ', 1) AS p1, 'v_' || split_part(p_name, ' ', 2) AS p2 FROM part),
+f AS (SELECT *, 'parts/p' || (k // 20) || '.py' AS file, (sum(CASE WHEN k % 7 = 0 THEN 6 ELSE 4 END) OVER (PARTITION BY k // 20 ORDER BY k) - CASE WHEN k % 7 = 0 THEN 6 ELSE 4 END)::INTEGER AS before FROM p WHERE p1 <> p2),
+c AS (SELECT *, p2 AS a1, p1 AS a2 FROM f)"""
+
+
+def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of twenty functions each: one that goes on after its return, and for every seventh part a swapped call."""
+    w = F.split("p_name", " ")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit("v_"), F.get(w, F.lit(0))).alias("a"), F.concat(F.lit("v_"), F.get(w, F.lit(1))).alias("b")).where("a <> b")
+    text = F.format_string("def part_%d(%s, %s):\n    t = %s + %s\n    return t\n    log(t)\n", "k", "a", "b", "a", "b")
+    call = F.when(F.col("k") % 7 == 0, F.format_string("def use_%d(%s, %s):\n    return part_%d(%s, %s)\n", "k", "a", "b", "k", "b", "a")).otherwise("")
+    files = p.groupBy(F.floor(F.col("k") / 20).alias("g")).agg(F.sort_array(F.collect_list(F.struct("k", F.concat(text, call).alias("t")))).alias("t"))
+    return files.select(F.format_string("parts/p%d.py", "g").alias("path"), F.lit("python").alias("language"), F.array_join(F.transform("t", lambda x: x["t"]), "").alias("source"))
+
+
+@query(f"""WITH {SOURCES} SELECT 'unreachable-after-terminator' AS detector_id, file, before + 4 AS line FROM c UNION ALL SELECT 'arg-swap', file, before + 6 FROM c WHERE k % 7 = 0 AND {SWAPPED} AND NOT {SAME}""")
+def scan_corpus(spark, sf_dir):
+    return scan(part_sources(spark, sf_dir)).select("detector_id", "file", "line")
