@@ -1,10 +1,11 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
-Each distinct set of word shingles is embedded by T minhash values. A tree starts with all sets in its root; a node
-sends every set to some children, one for each coordinate that the node's own hash selects, named by the set's minhash
-value there, so two sets of similarity s meet in a share s of them. Nodes of at most SMALL sets are compared
-exhaustively. In larger ones every set is compared with one pivot, and the node branches on; TREES independent trees
-bring the expected recall of a pair at the threshold over 0.9999.
+Each distinct set of word shingles is embedded by T minhash values. Every set starts in one node for each of some
+coordinates, named by its minhash value there; a node sends its sets to some children, one for each coordinate that
+its own hash selects, so two sets of similarity s meet in a share s of them. Nodes of at most SMALL sets are compared
+exhaustively. In larger ones every set is compared with one pivot, and the node branches on, at least once.
+`shape` derives the number of first coordinates and the branching from the threshold, so that a pair at the threshold
+whose nodes stay large down to the last level is missed with a probability of at most MISSED.
 
 Only connectivity is asked for, so once links are confirmed, a node whose sets are already of one component is closed,
 and one whose sets outside its largest component are few enough is compared across components and closed; others
@@ -17,7 +18,8 @@ Equal sets collapse to one class first, by size and two 64-bit sums of their has
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +31,35 @@ from dissona.llm.shared import cuts, slices, stored, utf8
 from dissona.llm.words import shingle_sets, split_words
 from dissona.operators.components import components
 
-T, TREES, SMALL, LEVELS = 128, 8, 24, 8
+T, SMALL, LEVELS = 128, 24, 8
 FULL = 1 << 16  # sets outside the largest component times sets, up to which a node is compared across components
 SENT = 250_000  # ids (8 bytes each) that may be broadcast
-ROOT, BRANCH = 2.35, 1.25  # coordinates that a root, or a later node, selects on average
+BRANCH, MET = 1.25, 1.0625  # coordinates that a node selects on average, at least; children in which a pair at the threshold meets
+MISSED = 5e-5
 SKETCH_LEAST = 98  # equal bits of 128: over six standard deviations below a pair at 0.85, whatever its luck
 _RNG = np.random.default_rng(20)
 MULTIPLIERS = _RNG.integers(1, 1 << 63, T, np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _RNG.integers(0, 1 << 63, T, np.uint64)
 
 
+@lru_cache
+def shape(threshold: int) -> tuple[int, float]:
+    """(first coordinates, mean of a later node's) for MISSED at the threshold."""
+    s, k = threshold / 100, np.arange(T + 1)
+    weight = np.array([comb(T, i) * s**i * (1 - s) ** (T - i) for i in k.tolist()])  # equal values of the pair
+    mean = max(BRANCH, MET / s)
+    while True:
+        met = np.ones(T + 1)  # the probability to meet at the last level, from a node of each level upwards
+        whole, part = divmod(mean, 1)
+        for _ in range(LEVELS - 2):
+            x = k / T * met
+            met = 1 - (1 - x) ** whole * (1 - part * x)
+        for first in range(1, T + 1):
+            if (weight * (1 - k / T * met) ** first).sum() <= MISSED:
+                return first, mean
+        mean += 0.25
+
+
 def signatures(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     """sets x T minhash values (int32) of sets that are not empty."""
     out = np.empty((len(first) - 1, T), np.int32)
@@ -113,22 +134,21 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, threshold: int) -> Dat
     return pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _children(sets: DataFrame, key, mean: float) -> DataFrame:
-    """(key, id, n, s1, s2) in the children that each node selects. sets: with sig and, where key is not None, the node."""
-    number = F.xxhash64
-    if key is None:  # the roots: what they select is known beforehand
-        rng = np.random.default_rng(1)
-        chosen = [(t, int(i)) for t in range(TREES) for i in np.flatnonzero(rng.random(T) < mean / T)]
-        # no tree without a branch, and the trees together as many branches as they have on average
-        spare = iter(rng.permutation(T).tolist())
-        chosen += [(t, next(spare)) for t in range(TREES) if t not in {c[0] for c in chosen}]
-        while len(chosen) < TREES * mean:
-            chosen.append((len(chosen) % TREES, next(spare)))
-        made = F.array(*[number(F.lit(t), F.lit(i), F.element_at("sig", i + 1)) for t, i in dict.fromkeys(chosen)])
-    else:
-        at = F.sequence(F.lit(0), F.lit(T - 1))
-        picks = F.filter(at, lambda i: F.pmod(number(F.col(key), i), F.lit(1 << 20)) < int(mean / T * (1 << 20)))
-        made = F.transform(picks, lambda i: number(F.col(key), i, F.element_at("sig", i + 1)))
+def _roots(sets: DataFrame, first: int) -> DataFrame:
+    """(key, id, n, s1, s2) in the nodes of the first level. sets: with sig."""
+    chosen = np.random.default_rng(1).permutation(T)[:first].tolist()
+    made = F.array(*[F.xxhash64(F.lit(i), F.element_at("sig", i + 1)) for i in chosen])
+    return sets.select("id", "n", "s1", "s2", F.explode(F.array_distinct(made)).alias("key"))
+
+
+def _children(sets: DataFrame, key: str, mean: float) -> DataFrame:
+    """(key, id, n, s1, s2) in the children that each node selects. sets: with sig and the node."""
+    whole, part = divmod(mean, 1)
+    more = F.pmod(F.xxhash64(F.col(key), F.lit(-1)), F.lit(1 << 20)) < int(part * (1 << 20))
+    first, step = (F.pmod(F.xxhash64(F.col(key), F.lit(k)), F.lit(T)) for k in (-2, -3))
+    # odd steps: the coordinates differ
+    picks = F.transform(F.sequence(F.lit(0), F.lit(int(whole) - 1) + more.cast("int")), lambda j: F.pmod(first + j * (2 * step + 1), F.lit(T)).cast("int"))
+    made = F.transform(picks, lambda i: F.xxhash64(F.col(key), i, F.get("sig", i)))
     return sets.select("id", "n", "s1", "s2", F.explode(F.array_distinct(made)).alias("key"))
 
 
@@ -157,7 +177,8 @@ def _class_links(some: DataFrame, classes: DataFrame, texts: DataFrame, n: int,
     sets = some.join(classes.select(F.col("rep").alias("id"), "n", "hi", "lo"), ["id", "n", "hi", "lo"], "left_semi").dropDuplicates(["id", "n", "hi", "lo"])
     sets = stored(sets.select("id", "n", "s1", "s2", "sig"), "classes")
     labels = stored(spark.createDataFrame([], "id long, component long"), "labels")
-    entries, nodes = _children(sets, None, ROOT), None
+    first, mean = shape(threshold)
+    entries, nodes = _roots(sets, first), None
     order = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
     for level in range(1, LEVELS + 1):
         parts = []
@@ -173,7 +194,7 @@ def _class_links(some: DataFrame, classes: DataFrame, texts: DataFrame, n: int,
             grown = opened.where(~small)
             entries = None
             if not grown.isEmpty():  # a set's values go once to all of its nodes
-                entries = _children(sets.join(grown.groupBy("id").agg(F.collect_list("key").alias("at")), "id").withColumn("node", F.explode("at")), "node", BRANCH)
+                entries = _children(sets.join(grown.groupBy("id").agg(F.collect_list("key").alias("at")), "id").withColumn("node", F.explode("at")), "node", mean)
         if entries is not None:
             known = entries.groupBy("key").agg(F.count("*").alias("m"), F.min(order).alias("p")).where("m > 1")
             made = stored(entries.join(known.select("key", "m", F.col("p.id").alias("pivot")), "key"), "nodes")

@@ -6,7 +6,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from dissona.llm import decontaminate, language_id, minhash_dedup, pii
@@ -215,6 +217,23 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
         assert {r["doc_id"]: tuple(r)[1:] for r in minhash_dedup.near_duplicates(df).collect()} == want
 
 
+def test_pairs_at_the_threshold_meet_at_the_last_level(spark):
+    """Were all nodes large, every node still branches, and no more pairs are missed than stated."""
+    rng, pairs = np.random.default_rng(4), 3000
+    sig = rng.integers(0, 1 << 31, (pairs, 2, minhash_dedup.T), np.int32)
+    sig[:, 1] = np.where(rng.random((pairs, minhash_dedup.T)) < 0.85, sig[:, 0], sig[:, 1])
+    zero = pa.array(np.zeros(2 * pairs, np.int64))
+    sets = spark.createDataFrame(pa.table({"id": np.arange(2 * pairs), "n": zero, "s1": zero, "s2": zero, "sig": pa.array(list(sig.reshape(2 * pairs, -1)))})).cache()
+    first, mean = minhash_dedup.shape(85)
+    nodes = minhash_dedup._roots(sets, first)
+    for _ in range(2, minhash_dedup.LEVELS):
+        met = nodes.groupBy("key").agg(F.collect_list("id").alias("ids")).where("size(ids) = 2").select(F.col("key").alias("node"), F.explode("ids").alias("id")).cache()
+        nodes = minhash_dedup._children(sets.join(met, "id"), "node", mean).cache()
+        assert nodes.count() >= met.count()
+    last = nodes.groupBy("key").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 2")
+    assert last.select("id").distinct().count() >= pairs - 1
+
+
 def test_near_duplicate_edges(spark, odd, empty):
     got = sorted([tuple(r) for r in minhash_dedup.near_duplicates(odd).collect()], key=str)
     by = {r[0]: r[1:] for r in got}
