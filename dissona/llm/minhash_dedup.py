@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from math import comb
+from math import comb, floor, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ FULL = 1 << 16  # sets outside the largest component times sets, up to which a n
 SENT = 250_000  # ids (8 bytes each) that may be broadcast
 BRANCH, MET = 1.25, 1.0625  # coordinates that a node selects on average, at least; children in which a pair at the threshold meets
 MISSED = 5e-5
-SKETCH_LEAST = 98  # equal bits of 128: over six standard deviations below a pair at 0.85, whatever its luck
+SKETCH_SD = 6.8  # standard deviations below a pair at the threshold: equal bits that a pair must have
 _RNG = np.random.default_rng(20)
 MULTIPLIERS = _RNG.integers(1, 1 << 63, T, np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _RNG.integers(0, 1 << 63, T, np.uint64)
@@ -60,6 +60,12 @@ def shape(threshold: int) -> tuple[int, float]:
         mean += 0.25
 
 
+def sketch_least(threshold: int) -> int:
+    """Equal bits of T that a pair at the threshold has but for SKETCH_SD standard deviations."""
+    p = (1 + threshold / 100) / 2
+    return floor(T * p - SKETCH_SD * sqrt(T * p * (1 - p)))
+
+
 def signatures(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     """sets x T minhash values (int32) of sets that are not empty."""
     out = np.empty((len(first) - 1, T), np.int32)
@@ -101,7 +107,7 @@ def alike(threshold: int):
     """Whether a pair (columns x_ and y_) can reach the threshold: sizes and sketches."""
     size = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * threshold)
     bits = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
-    return size & (bits <= T - SKETCH_LEAST)
+    return size & (bits <= T - sketch_least(threshold))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int, threshold: int) -> DataFrame:

@@ -217,6 +217,22 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
         assert {r["doc_id"]: tuple(r)[1:] for r in minhash_dedup.near_duplicates(df).collect()} == want
 
 
+def test_near_duplicates_of_another_rule(spark):
+    """Pairs just above a lower threshold: the sketch bound and the number of nodes follow it."""
+    rng, texts = random.Random(8), {}
+    for i in range(300):
+        base = [f"w{i}x{j}" for j in range(60)]
+        other = list(base)
+        for j in rng.sample(range(0, 56, 7), 2):  # 10 of 56 five-word sets go, 10 come: similarity 46 / 66
+            other[j + 3] += "y"
+        texts[2 * i], texts[2 * i + 1] = " ".join(base), " ".join(other)
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in ((k, t.split()) for k, t in texts.items())}
+    alike = [len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) for k in range(0, 600, 2)]
+    assert min(alike) >= 0.65
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), n=5, threshold=65).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: k - k % 2 for k in texts}
+
+
 def test_pairs_at_the_threshold_meet_at_the_last_level(spark):
     """Were all nodes large, every node still branches, and no more pairs are missed than stated."""
     rng, pairs = np.random.default_rng(4), 3000
