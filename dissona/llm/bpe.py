@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 from collections.abc import Sequence
 
@@ -15,9 +16,34 @@ import numpy as np
 import tiktoken
 from tokenizers.normalizers import NFC
 
-from dissona.llm.pretoken import SPACE, HashIndex, code_points, distinct_missing, lower_case, mix, powers, span_hashes, token_starts
+from dissona.llm.pretoken import SPACE, HashIndex, code_points, distinct_missing, lower_case, mix, span_hashes, token_starts
 
 NONE = np.int64(1 << 40)
+LONG = 512  # units of a word from which on it is merged at once: a step of the longest match costs more than a merge there
+BASES = [int.from_bytes(os.urandom(8), "little") | 1 for _ in range(2)]
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each base: its powers and the powers of its inverse, modulo 2**64."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        size = max(n, 1 << 16)
+        made = []
+        for b in BASES:
+            pair = []
+            for x in (b, pow(b, -1, 1 << 64)):
+                a = np.full(size, np.uint64(x), np.uint64)
+                a[0] = 1
+                pair.append(np.cumprod(a, dtype=np.uint64))
+            made.append(tuple(pair))
+        _POWERS[:] = made
+    return [(p[:n], q[:n]) for p, q in _POWERS]
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for sizes[0] numbers, then from starts[1], and so on."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def byte_units() -> list[str]:
@@ -82,8 +108,13 @@ class Vocabulary:
         lengths = np.array([len(x) for x in contents])
         flat = np.array([u for x in contents for u in x], np.int64)
         ends = np.cumsum(lengths)
-        h = span_hashes(flat, ends - lengths, ends)
-        self.longest = int(lengths.max())
+        h = [np.empty(len(ends), np.uint64) for _ in BASES]
+        for size in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == size)
+            for k in range(2):
+                h[k][at] = span_hash_at(flat, (ends - lengths)[at], size, k)
+        self.content, self.content_at, self.content_size = flat, np.zeros(self.size, np.int64), np.zeros(self.size, np.int64)
+        self.content_at[owners], self.content_size[owners] = ends - lengths, lengths
         self.index = HashIndex(18)
         _, distinct = distinct_missing(self.index, *h)
         self.index.put(h[0][distinct], h[1][distinct])
@@ -244,8 +275,8 @@ class Vocabulary:
         starts = np.concatenate([[0], ends[:-1]])
         n = len(ends)
         owner, at, step = [], [], []
-        pos, live = starts.copy(), np.flatnonzero(ends > starts)
-        failed = np.zeros(n, bool)
+        failed = ends - starts >= LONG
+        pos, live = starts.copy(), np.flatnonzero((ends > starts) & ~failed)
         number = 0
         while len(live):
             todo, p, e = live, pos[live], ends[live]
@@ -279,6 +310,12 @@ class Vocabulary:
         sort = np.lexsort((order, word))
         word, piece = word[sort], piece[sort]
         failed[word[~self.whole[piece]]] = True
+        # the pieces were found by hashes: now their contents are compared
+        size = self.content_size[piece]
+        first = np.cumsum(size) - size
+        offset = first - first[np.searchsorted(word, word)] if len(word) else first
+        unlike = units[ranges(starts[word] + offset, size)] != self.content[ranges(self.content_at[piece], size)]
+        failed[np.repeat(word, size)[unlike]] = True
         if len(word) > 1:
             side = np.flatnonzero(word[1:] == word[:-1])
             failed[word[side[~self.compatible(piece[side], piece[side + 1])]]] = True
@@ -374,7 +411,7 @@ class Pieces:
         if self.clip:
             keep = kind[begin] != SPACE
             begin, finish = begin[keep], finish[keep]
-        a, b = span_hashes(points, begin, finish) if len(begin) else (np.zeros(0, np.uint64),) * 2
+        a, b = span_hashes(points, begin, finish)
         entry, miss = distinct_missing(self.index, a, b)
         if len(miss):
             if self.index.n + len(miss) > self.most and self.index.n > len(self.special_at):

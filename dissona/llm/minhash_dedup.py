@@ -1,161 +1,364 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
-Each distinct set of word shingles is embedded by T minhash values. Every set starts in one node for each of some
-coordinates, named by its minhash value there; a node sends its sets to some children, one for each coordinate that
-its own hash selects, so two sets of similarity s meet in a share s of them. Nodes of at most SMALL sets are compared
-exhaustively. In larger ones every set is compared with one pivot, and the node branches on, at least once.
-`shape` derives the number of first coordinates and the branching from the threshold, so that a pair at the threshold
-whose nodes stay large down to the last level is missed with a probability of at most MISSED.
+Each distinct set of word shingles is embedded by T minhash values. A path is a sequence of chosen coordinates; the sets
+that agree along a path share its node. Every set starts at the ends of some independent paths of DEPTH coordinates
+(all shorter ones are taken to be crowded). A node of at most MOST sets is compared exhaustively; a larger one compares
+every set with one pivot and, unless that ties its sets to one component but for OUT of them, branches on to children
+of the coordinates that its own hash selects, as deep as it takes. `shape` derives the number of first paths from the
+threshold, so that a pair at the threshold whose nodes stay large down to level LEVELS is missed with a probability of
+at most MISSED.
 
-Only connectivity is asked for, so once links are confirmed, a node whose sets are already of one component is closed,
-and one whose sets outside its largest component are few enough is compared across components and closed; others
-branch. Thus a group of thousands of near copies costs a star, not its square. Nodes at the last level are compared
-across components whatever their size. Candidate pairs pass a sketch of 128 bits and the ratio of sizes, and are
-confirmed on the full shingle sets, recomputed from the texts.
+A node is compared in two steps. From the minhash values alone (a byte of each) a task finds the sets that may have a
+partner in the node which the links so far have not tied to them; only their texts are read, and their full shingle
+sets are intersected node by node, most similar pairs first, leaving out pairs that are tied meanwhile. So a group of
+thousands of near copies costs about a star, and a set goes to each of its nodes once, however many partners it has.
 
-Equal sets collapse to one class first, by size and two 64-bit sums of their hashes, and never enter the trees twice."""
+Equal sets collapse to one class before, named by two 64-bit sums of its hashes. Hashes are seeded anew by each run."""
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 from math import comb, floor, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dissona.llm.pretoken import mix
-from dissona.llm.shared import cuts, slices, stored, utf8
+from dissona.llm.shared import discard, slices, stored, utf8
 from dissona.llm.words import shingle_sets, split_words
 from dissona.operators.components import components
 
-T, SMALL, LEVELS = 128, 24, 8
-FULL = 1 << 16  # sets outside the largest component times sets, up to which a node is compared across components
+T, DEPTH, LEVELS = 128, 3, 8
+MOST, WEIGHT = 1024, 4_000_000  # sets, and shingles, of a node that is compared exhaustively (or of 16 sets)
+OUT = 256  # sets outside the largest component of a node, up to which they are compared with all of it
+FIRST = 2  # paths that are followed before the others: most links are found there
 SENT = 250_000  # ids (8 bytes each) that may be broadcast
-BRANCH, MET = 1.25, 1.0625  # coordinates that a node selects on average, at least; children in which a pair at the threshold meets
+MET = 1.275  # children in which a pair at the threshold meets, on average
 MISSED = 5e-5
-SKETCH_SD = 6.8  # standard deviations below a pair at the threshold: equal bits that a pair must have
+SIGNATURE_SD = 4.75  # standard deviations below a pair at the threshold: equal values that a pair must have
 _RNG = np.random.default_rng(20)
-MULTIPLIERS = _RNG.integers(1, 1 << 63, T, np.uint64) * np.uint64(2) + np.uint64(1)
-OFFSETS = _RNG.integers(0, 1 << 63, T, np.uint64)
+MULTIPLIERS = _RNG.integers(0, 1 << 31, T, np.uint32) * np.uint32(2) + np.uint32(1)
+OFFSETS = _RNG.integers(0, 1 << 32, T, np.uint32)
+SALTS = _RNG.integers(0, 1 << 63, 2, np.uint64)
+PATHS = _RNG.permutation(T)
 
 
 @lru_cache
 def shape(threshold: int) -> tuple[int, float]:
-    """(first coordinates, mean of a later node's) for MISSED at the threshold."""
+    """(first paths, mean number of a node's children) for MISSED at the threshold."""
     s, k = threshold / 100, np.arange(T + 1)
     weight = np.array([comb(T, i) * s**i * (1 - s) ** (T - i) for i in k.tolist()])  # equal values of the pair
-    mean = max(BRANCH, MET / s)
-    while True:
-        met = np.ones(T + 1)  # the probability to meet at the last level, from a node of each level upwards
-        whole, part = divmod(mean, 1)
-        for _ in range(LEVELS - 2):
-            x = k / T * met
-            met = 1 - (1 - x) ** whole * (1 - part * x)
-        for first in range(1, T + 1):
-            if (weight * (1 - k / T * met) ** first).sum() <= MISSED:
-                return first, mean
-        mean += 0.25
+    mean = MET / s
+    met = np.ones(T + 1)  # the probability to meet at the last level, from a node of each level upwards
+    whole, part = divmod(mean, 1)
+    for _ in range(LEVELS - DEPTH):
+        x = k / T * met
+        met = 1 - (1 - x) ** whole * (1 - part * x)
+    first = 1
+    while (weight * (1 - (k / T) ** DEPTH * met) ** first).sum() > MISSED:
+        first += 1
+    return first, mean
 
 
-def sketch_least(threshold: int) -> int:
-    """Equal bits of T that a pair at the threshold has but for SKETCH_SD standard deviations."""
-    p = (1 + threshold / 100) / 2
-    return floor(T * p - SKETCH_SD * sqrt(T * p * (1 - p)))
+def least_equal(threshold: int) -> int:
+    """Equal bytes of T that a pair at the threshold has but for SIGNATURE_SD standard deviations."""
+    p = threshold / 100 + (1 - threshold / 100) / 256
+    return floor(T * p - SIGNATURE_SD * sqrt(T * p * (1 - p)))
 
 
 def signatures(value: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """sets x T minhash values (int32) of sets that are not empty."""
-    out = np.empty((len(first) - 1, T), np.int32)
+    """sets x T minhash values (uint16) of sets that are not empty."""
+    out = np.empty((len(first) - 1, T), np.uint16)
+    v = (value >> np.uint64(32)).astype(np.uint32)
+    h = np.empty_like(v)
     for k in range(T):
-        h = value * MULTIPLIERS[k] + OFFSETS[k]
-        out[:, k] = (np.minimum.reduceat(h, first[:-1]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        np.multiply(v, MULTIPLIERS[k], out=h)
+        h += OFFSETS[k]
+        out[:, k] = (np.minimum.reduceat(h, first[:-1]) * np.uint32(0x9E3779B1)) >> np.uint32(16)
     return out
 
 
-def sketch_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n, hi, lo, s1, s2, sig) of each row: set size, two digests of the set, 128 sketch bits, minhash values."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.list_(pa.int32()))])
+def digests(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums for each set that is not empty."""
+    return np.stack([np.add.reduceat(mix(value ^ x), first[:-1]) for x in SALTS]).view(np.int64)
+
+
+def _shingles(data: np.ndarray, offsets: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    h, words, _ = split_words(data, offsets, seed=seed)
+    return shingle_sets(h, words, n)
+
+
+def sketch_sets(docs: DataFrame, n: int, first: int, seed: int) -> DataFrame:
+    """(id, n, hi, lo, low, high, keys) of each row (id, text): set size, digests of the set, minhash values (their low
+    and high bytes), and the nodes at the end of the first paths."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    paths = np.resize(PATHS, (first, DEPTH))  # with many paths the coordinates are used again
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for lo, hi, part, edges in slices(data, offsets):
-                h, words, _ = split_words(part, edges)
-                value, first = shingle_sets(h, words, n)
-                size = np.diff(first)
+                value, begin = _shingles(part, edges, n, seed)
+                size = np.diff(begin)
                 full = np.flatnonzero(size)
-                sig = np.zeros((hi - lo, T), np.int32)
+                sig = np.zeros((hi - lo, T), np.uint16)
                 sums = np.zeros((2, hi - lo), np.int64)
-                bits = np.zeros((hi - lo, 2), np.int64)
+                keys = np.zeros((hi - lo, first), np.int64)
                 if len(full):
-                    at = np.append(first[full], first[-1])
-                    sig[full] = signatures(value, at)
-                    for k in range(2):
-                        sums[k, full] = np.add.reduceat(mix(value ^ OFFSETS[k]), at[:-1]).view(np.int64)
-                    one = (sig[full].astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(31)
-                    bits[full] = np.packbits(one.astype(np.uint8), axis=1).view(np.int64)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * T), pa.array(sig.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(sums[0]), pa.array(sums[1]), pa.array(bits[:, 0]), pa.array(bits[:, 1]), flat], schema=schema)
+                    at = np.append(begin[full], begin[-1])
+                    sig[full], sums[:, full] = signatures(value, at), digests(value, at)
+                    for k, path in enumerate(paths):
+                        key = np.full(len(full), np.uint64(k + 1))
+                        for c in path:
+                            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[full, c])
+                        keys[full, k] = key.view(np.int64)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * first), pa.array(keys.ravel()))
+                low, high = (_binary(x.astype(np.uint8)) for x in (sig & 255, sig >> 8))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(sums[0]), pa.array(sums[1]), low, high, flat], schema=schema)
+
+    return docs.mapInArrow(run, "id long, n long, hi long, lo long, low binary, high binary, keys array<long>")
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+# -- comparing nodes
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int]]]]:
+    """Batches sorted by their first column to (rows, row ranges of whole nodes)."""
+    left: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        place = batch.column(0).to_numpy()
+        ends = np.flatnonzero(place[1:] != place[:-1]) + 1
+        if left and left[-1].column(0)[0].as_py() != place[0]:
+            yield _ranges(left)
+            left = []
+        if len(ends):
+            yield _ranges([*left, batch.slice(0, int(ends[-1]))])
+            left = [batch.slice(int(ends[-1]))]
+        else:
+            left.append(batch)
+    if left:
+        yield _ranges(left)
+
+
+def _ranges(parts: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, list[tuple[int, int]]]:
+    whole = pa.concat_batches(parts)
+    place = whole.column(0).to_numpy()
+    ends = [*(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)]
+    return whole, [*zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _columns(rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(n, values rows x T, component, left) of rows (place, id, hi, n, low, c, left, ...)."""
+    low = rows.column(4)
+    offsets = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1]
+    values = np.frombuffer(low.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, T)
+    return rows.column(3).to_numpy(), values, rows.column(5).to_numpy(), rows.column(6).to_numpy(zero_copy_only=False)
+
+
+def candidates(n: np.ndarray, values: np.ndarray, c: np.ndarray, left: np.ndarray, threshold: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (row, later row, equal values) of a node, of unlike components, one of them on the left, that can be alike."""
+    step = max(1, (1 << 21) // (len(n) * T))
+    for lo in range(0, len(n) - 1, step):
+        hi = min(lo + step, len(n))
+        ok = (c[lo:hi, None] != c[None]) & (left[lo:hi, None] | left[None]) & (np.arange(lo, hi)[:, None] < np.arange(len(n)))
+        ok &= np.minimum(n[lo:hi, None], n[None]) * 100 >= np.maximum(n[lo:hi, None], n[None]) * threshold
+        if not ok.any():
+            continue
+        equal = (values[lo:hi, None] == values[None]).sum(2, dtype=np.uint8)
+        i, j = np.nonzero(ok & (equal >= least))
+        if len(i):
+            yield i + lo, j, equal[i, j]
+
+
+def _find(root: dict, x: int) -> int:
+    while root.get(x, x) != x:
+        root[x] = root.get(root[x], root[x])
+        x = root[x]
+    return x
+
+
+def ties(i: np.ndarray, j: np.ndarray, equal: np.ndarray, c: np.ndarray, sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
+    """Of the pairs those that reach the threshold on their full sets; pairs already tied by others are passed over."""
+    root: dict[int, int] = {}
+    out = []
+    order = np.argsort(-equal.astype(np.int16), kind="stable")
+    for lo in range(0, len(order), 4096):
+        now = order[lo : lo + 4096]
+        if root:  # components that are tied by now
+            tied = {x: _find(root, x) for x in root}
+            names = np.fromiter(tied, np.int64, len(tied))
+            by = np.argsort(names)
+            at = np.minimum(np.searchsorted(names, c, sorter=by), len(by) - 1)
+            same = np.where(names[by[at]] == c, np.fromiter(tied.values(), np.int64, len(tied))[by[at]], c)
+            now = now[same[i[now]] != same[j[now]]]
+        for a, b in zip(i[now].tolist(), j[now].tolist(), strict=True):
+            x, y = _find(root, int(c[a])), _find(root, int(c[b]))
+            if x == y:
+                continue
+            s, t = (sets[a], sets[b]) if len(sets[a]) <= len(sets[b]) else (sets[b], sets[a])
+            at = np.searchsorted(t, s)
+            at[at == len(t)] = 0
+            common = int(np.count_nonzero(t[at] == s))
+            if 100 * common >= threshold * (len(s) + len(t) - common):
+                root[max(x, y)] = min(x, y)
+                root.setdefault(min(x, y), min(x, y))
+                out.append((a, b))
+    return out
+
 
-    return docs.mapInArrow(run, "id long, n long, hi long, lo long, s1 long, s2 long, sig array<int>")
+NODE = "place long, id long, hi long, n long, low binary, c long, left boolean"
 
 
-def alike(threshold: int):
-    """Whether a pair (columns x_ and y_) can reach the threshold: sizes and sketches."""
-    size = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * threshold)
-    bits = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
-    return size & (bits <= T - sketch_least(threshold))
+def _with_partner(rows: DataFrame, threshold: int) -> DataFrame:
+    """The rows that may have a partner in their node."""
+    least = least_equal(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, nodes in _nodes(batches):
+            n, values, c, left = _columns(whole)
+            keep = np.zeros(len(n), bool)
+            for lo, hi in nodes:
+                for i, j, _ in candidates(n[lo:hi], values[lo:hi], c[lo:hi], left[lo:hi], threshold, least):
+                    keep[lo + i] = keep[lo + j] = True
+            yield whole.filter(pa.array(keep))
 
+    return rows.repartition("place").sortWithinPartitions("place").mapInArrow(run, NODE)
 
-def confirmed(pairs: DataFrame, texts: DataFrame, n: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold. texts: (id, text)."""
+
+def _tied(rows: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): links that tie the sets of each node; rows with the set as a last column."""
+    least = least_equal(threshold)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, nodes in _nodes(batches):
+            n, values, c, left = _columns(whole)
+            ids, listed = whole.column(1).to_numpy(), whole.column(7)
+            edges, flat = listed.offsets.to_numpy(), listed.values.to_numpy().view(np.uint64)
+            a, b = [], []
+            for lo, hi in nodes:
+                found = [*candidates(n[lo:hi], values[lo:hi], c[lo:hi], left[lo:hi], threshold, least)]
+                if found:
+                    i, j, equal = (np.concatenate(x) for x in zip(*found, strict=True))
+                    sets = [flat[edges[r] : edges[r + 1]] for r in range(lo, hi)]
+                    for x, y in ties(i, j, equal, c[lo:hi], sets, threshold):
+                        a.append(int(ids[lo + x]))
+                        b.append(int(ids[lo + y]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+    return rows.repartition("place").sortWithinPartitions("place").mapInArrow(run, "a long, b long")
+
+
+def _full_sets(texts: DataFrame, n: int, seed: int) -> DataFrame:
+    """(id, hi, set): the sorted hashes of each text's set, texts: (id, text)."""
+    schema = pa.schema([("id", pa.int64()), ("hi", pa.int64()), ("set", pa.list_(pa.int64()))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = [utf8(batch.column(c)) for c in (2, 3)]
-            for lo, hi in cuts(sides[0][1] + sides[1][1]):
-                part, both = batch.slice(lo, hi - lo), []
-                for data, offsets in sides:
-                    h, words, _ = split_words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                    value, first = shingle_sets(h, words, n)
-                    both.append((value, np.repeat(np.arange(part.num_rows), np.diff(first)), np.diff(first)))
-                value, row = (np.concatenate([both[0][k], both[1][k]]) for k in (0, 1))
-                order = np.lexsort((value, row))
-                same = (value[order][1:] == value[order][:-1]) & (row[order][1:] == row[order][:-1])
-                common = np.bincount(row[order][1:][same], minlength=part.num_rows)
-                union = both[0][2] + both[1][2] - common
-                keep = (100 * common >= threshold * union) & (union > 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], schema=schema).filter(pa.array(keep))
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    few = stored(ids, "ids")
-    if few.count() <= SENT:  # so few ids reach the tasks whole, and no text is shuffled to find theirs
-        few = F.broadcast(few)
-    texts = stored(texts.join(few, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-def _roots(sets: DataFrame, first: int) -> DataFrame:
-    """(key, id, n, s1, s2) in the nodes of the first level. sets: with sig."""
-    chosen = np.random.default_rng(1).permutation(T)[:first].tolist()
-    made = F.array(*[F.xxhash64(F.lit(i), F.element_at("sig", i + 1)) for i in chosen])
-    return sets.select("id", "n", "s1", "s2", F.explode(F.array_distinct(made)).alias("key"))
-
-
-def _children(sets: DataFrame, key: str, mean: float) -> DataFrame:
-    """(key, id, n, s1, s2) in the children that each node selects. sets: with sig and the node."""
-    whole, part = divmod(mean, 1)
-    more = F.pmod(F.xxhash64(F.col(key), F.lit(-1)), F.lit(1 << 20)) < int(part * (1 << 20))
-    first, step = (F.pmod(F.xxhash64(F.col(key), F.lit(k)), F.lit(T)) for k in (-2, -3))
-    # odd steps: the coordinates differ
-    picks = F.transform(F.sequence(F.lit(0), F.lit(int(whole) - 1) + more.cast("int")), lambda j: F.pmod(first + j * (2 * step + 1), F.lit(T)).cast("int"))
-    made = F.transform(picks, lambda i: F.xxhash64(F.col(key), i, F.get("sig", i)))
-    return sets.select("id", "n", "s1", "s2", F.explode(F.array_distinct(made)).alias("key"))
+            data, offsets = utf8(batch.column(1))
+            for lo, hi, part, edges in slices(data, offsets):
+                value, begin = _shingles(part, edges, n, seed)
+                full = np.flatnonzero(np.diff(begin))
+                if not len(full):
+                    continue
+                at = np.append(begin[full], begin[-1])
+                sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(value.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(full)), pa.array(digests(value, at)[0]), sets], schema=schema)
+
+    return texts.mapInArrow(run, "id long, hi long, set array<long>").dropDuplicates(["id", "hi"])
+
+
+class _Search:
+    """The links found so far, as labels (id, component), and how further nodes are compared."""
+
+    def __init__(self, texts: DataFrame, reps: DataFrame, n: int, threshold: int, seed: int):
+        self.texts, self.reps, self.n, self.threshold, self.seed = texts, reps, n, threshold, seed
+        self.labels = stored(texts.sparkSession.createDataFrame([], "id long, component long"), "labels")
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+
+    def merge(self, links: DataFrame) -> None:
+        """Take in new links (a, b): only the graph of the components that they tie is worked on."""
+        if links.isEmpty():
+            return
+        labels = self.labels
+        at = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+        tied = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        new = stored(components(tied.distinct()).select(F.col("id").alias("was"), F.col("component").alias("now")), "merged")
+        old = labels.join(new, F.col("component") == F.col("was"), "left").select("id", F.coalesce("now", "component").alias("component"))
+        fresh = new.join(labels, F.col("was") == F.col("id"), "left_anti").select(F.col("was").alias("id"), F.col("now").alias("component"))
+        self.labels = stored(old.unionAll(fresh), "labels")
+        discard(labels, new)
+
+    def compare(self, rows: DataFrame) -> None:
+        """Tie the sets of each node: rows (place, id, hi, n, left)."""
+        rows = self.named(rows)
+        apart = rows.groupBy("place").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("place")
+        values = self.reps.select("id", "hi", "low")
+        rows = rows.join(apart, "place").join(values, ["id", "hi"]).select("place", "id", "hi", "n", "low", "c", "left")
+        chosen = stored(_with_partner(rows, self.threshold), "chosen")
+        ids = stored(chosen.select("id").distinct(), "ids")
+        number = ids.count()
+        if number:
+            few = F.broadcast(ids) if number <= SENT else ids  # so few ids reach the tasks whole, and no text is shuffled to find theirs
+            sets = _full_sets(self.texts.join(few, "id", "left_semi").dropDuplicates(["id", "text"]), self.n, self.seed)
+            links = stored(_tied(chosen.join(sets, ["id", "hi"]).select(*chosen.columns, "set"), self.threshold), "links")
+            self.merge(links)
+            discard(links)
+        discard(chosen, ids)
+
+    def follow(self, entries: DataFrame) -> DataFrame:
+        """Compare the small nodes of entries (key, id, hi, n); the entries of the others, with the node's m and w."""
+        counted = entries.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("w")).where("m > 1")
+        met = stored(entries.join(counted, "key"), "nodes")
+        small = (F.col("m") <= MOST) & ((F.col("w") <= WEIGHT) | (F.col("m") <= 16))
+        self.compare(met.where(small).select(F.col("key").alias("place"), "id", "hi", "n", F.lit(True).alias("left")))
+        large = stored(met.where(~small), "large")
+        discard(met)
+        return large
+
+    def branch(self, large: DataFrame, mean: float) -> DataFrame:
+        """Tie what a pivot ties in each large node, close nodes, and follow the children of the others."""
+        blocks = F.ceil(F.greatest(F.col("m") / MOST, F.col("w") / WEIGHT)).cast("int")
+        place = lambda k, salt: F.xxhash64("key", F.lit(salt), k)
+        block = F.pmod(F.xxhash64("id", "hi"), blocks).cast("int")
+        pivot = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "hi").alias("h"), "id", "hi", "n", "m", "w")).alias("p")).select("key", "p.*")
+        sent = pivot.withColumn("b", F.explode(F.sequence(F.lit(0), blocks - 1))).select(place(F.col("b"), -5).alias("place"), "id", "hi", "n", F.lit(True).alias("left"))
+        others = large.join(pivot.select("key", F.col("id").alias("pi"), F.col("hi").alias("ph")), "key").where("id != pi OR hi != ph")
+        self.compare(others.select(place(block, -5).alias("place"), "id", "hi", "n", F.lit(False).alias("left")).unionAll(sent))
+        named = self.named(large)
+        sizes = named.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all"))
+        named = stored(named.join(sizes.select("key", (F.col("all") - F.col("top.k")).alias("u"), F.col("top.c").alias("pc")), "key").where("u > 0"), "open")
+        near = named.where(F.col("u") <= OUT)
+        row = lambda k, left: (place(k, -6).alias("place"), "id", "hi", "n", F.lit(left).alias("left"))
+        outside = near.where("c != pc").withColumn("b", F.explode(F.sequence(F.lit(0), blocks - 1))).select(*row(F.col("b"), True))
+        self.compare(near.where("c = pc").select(*row(block, False)).unionAll(outside))
+        grown = self.follow(self.children(named.where(F.col("u") > OUT), mean))
+        discard(named)
+        return grown
+
+    def children(self, rows: DataFrame, mean: float) -> DataFrame:
+        """(key, id, hi, n) in the children that each node selects."""
+        whole, part = divmod(mean, 1)
+        more = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(1 << 20)) < int(part * (1 << 20))
+        first, step = (F.pmod(F.xxhash64("key", F.lit(k)), F.lit(T)) for k in (-2, -3))
+        # odd steps: the coordinates differ
+        picks = F.transform(F.sequence(F.lit(0), F.lit(int(whole) - 1) + more.cast("int")), lambda j: F.pmod(first + j * (2 * step + 1), F.lit(T)).cast("int"))
+        byte = lambda name, i: F.substring(F.col(name), i + 1, F.lit(1))
+        made: Column = F.transform(picks, lambda i: F.xxhash64("key", i, byte("low", i), byte("high", i)))
+        return rows.select("key", "id", "hi", "n").join(self.reps.select("id", "hi", "low", "high"), ["id", "hi"]).select(F.explode(F.array_distinct(made)).alias("key"), "id", "hi", "n")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, threshold: int = 85) -> DataFrame:
@@ -164,69 +367,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 
     Words are runs without blanks, A-Z lower-cased; a text of fewer than n words has its whole sequence as the one
     shingle. Null, empty and blank texts have empty sets and are linked with nothing, not even each other. Rows that
-    repeat a key are one document to the result: each gets that key's component. A row with a null key gets a null
-    component, kept false, and links nothing. Other columns are not read."""
+    repeat a key are one document to the result, which has the links of all its texts: each gets that key's component.
+    A row with a null key gets a null component, kept false, and links nothing. A very long text is one row to its
+    tasks, which hold it and its set. Other columns are not read. The result is deterministic but for links that all
+    paths miss (see above)."""
+    seed = secrets.randbits(63)
+    first, mean = shape(threshold)
     texts = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
-    every = stored(sketch_sets(texts, n), "sets")
+    every = stored(sketch_sets(texts, n, first, seed), "sets")
     some = every.where("n > 0 AND id IS NOT NULL")
-    classes = some.groupBy("n", "hi", "lo").agg(F.min("id").alias("rep"))
-    linked = _class_links(some, classes, texts, n, threshold)
-    named = classes.join(linked, classes["rep"] == linked["id"], "left").select(classes["n"], classes["hi"], classes["lo"], F.coalesce("component", "rep").alias("component"))
+    classes = stored(some.groupBy("n", "hi", "lo").agg(F.min("id").alias("rep")), "classes")
+    reps = some.join(classes.select(F.col("rep").alias("id"), "n", "hi", "lo"), ["id", "n", "hi", "lo"], "left_semi").dropDuplicates(["id", "hi"])
+    reps = stored(reps.select("id", "hi", "n", "low", "high", "keys"), "reps")
+    search = _Search(texts, reps, n, threshold, seed)
+    search.merge(_same_key(some, classes))
+    large = None
+    for at, number in ((1, FIRST), (FIRST + 1, first - FIRST)):
+        grown = search.follow(reps.select(F.explode(F.slice("keys", at, number)).alias("key"), "id", "hi", "n"))
+        large = grown if large is None else stored(large.unionAll(grown), "large")
+    while not large.isEmpty():
+        large = search.branch(large, mean)
+    discard(reps)
+    named = classes.join(search.labels, classes["rep"] == search.labels["id"], "left").select("n", "hi", "lo", F.coalesce("component", "rep").alias("component"))
     out = every.select("id", "n", "hi", "lo").join(named, ["n", "hi", "lo"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
 
-def _class_links(some: DataFrame, classes: DataFrame, texts: DataFrame, n: int, threshold: int) -> DataFrame:
-    """(id, component) of the class representatives that have a link."""
-    spark = some.sparkSession
-    sets = some.join(classes.select(F.col("rep").alias("id"), "n", "hi", "lo"), ["id", "n", "hi", "lo"], "left_semi").dropDuplicates(["id", "n", "hi", "lo"])
-    sets = stored(sets.select("id", "n", "s1", "s2", "sig"), "classes")
-    labels = stored(spark.createDataFrame([], "id long, component long"), "labels")
-    first, mean = shape(threshold)
-    entries, nodes = _roots(sets, first), None
-    order = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
-    for level in range(1, LEVELS + 1):
-        parts = []
-        if nodes is not None:  # nodes that the links found so far have not closed
-            named = nodes.join(labels, "id", "left").select("key", "id", "n", "s1", "s2", F.coalesce("component", "id").alias("c"))
-            sizes = named.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("m"), F.max(F.struct("k", "c")).alias("top"))
-            sizes = sizes.select("key", "m", (F.col("m") - F.col("top.k")).alias("u"), F.col("top.c").alias("pc")).where("u > 0")
-            opened = stored(named.join(sizes, "key"), "open")
-            small = (F.col("u") * F.col("m") <= FULL) | F.lit(level == LEVELS)
-            settled = opened.where(small)
-            once = (F.col("y.c") == F.col("y.pc")) | (F.col("x.id") < F.col("y.id"))
-            parts.append(_met(settled.where("c != pc"), settled, (F.col("x.c") != F.col("y.c")) & once, threshold))
-            grown = opened.where(~small)
-            entries = None
-            if not grown.isEmpty():  # a set's values go once to all of its nodes
-                entries = _children(sets.join(grown.groupBy("id").agg(F.collect_list("key").alias("at")), "id").withColumn("node", F.explode("at")), "node", mean)
-        if entries is not None:
-            known = entries.groupBy("key").agg(F.count("*").alias("m"), F.min(order).alias("p")).where("m > 1")
-            made = stored(entries.join(known.select("key", "m", F.col("p.id").alias("pivot")), "key"), "nodes")
-            less, more = made.where(F.col("m") <= SMALL), made.where(F.col("m") > SMALL)
-            parts += [_met(less, less, F.col("x.id") < F.col("y.id"), threshold), _met(more, more.where("id = pivot"), F.col("x.id") != F.col("y.id"), threshold)]
-            nodes = more
-        pairs = stored(reduce(DataFrame.unionAll, parts).distinct(), "pairs")
-        labels = _merged(labels, stored(confirmed(pairs, texts, n, threshold), "links"))
-        if entries is None or nodes.isEmpty():
-            break
-    return labels
-
-
-def _met(x: DataFrame, y: DataFrame, also, threshold: int) -> DataFrame:
-    """(a, b), a < b: sets of x and y that share a node and can be alike."""
-    met = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & also & alike(threshold))
-    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-
-
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (id, component) after new links (a, b): only the graph of the components that they tie is worked on."""
-    if links.isEmpty():
-        return labels
-    at = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
-    tied = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    new = stored(components(tied.distinct()).select(F.col("id").alias("was"), F.col("component").alias("now")), "merged")
-    old = labels.join(new, F.col("component") == F.col("was"), "left").select("id", F.coalesce("now", "component").alias("component"))
-    fresh = new.join(labels, F.col("was") == F.col("id"), "left_anti").select(F.col("was").alias("id"), F.col("now").alias("component"))
-    return stored(old.unionAll(fresh), "labels")
+def _same_key(some: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): the representatives of classes that share a key."""
+    many = some.groupBy("id").agg(F.min("hi").alias("x"), F.max("hi").alias("y")).where("x != y").select("id")
+    reps = some.join(many, "id").select("id", "n", "hi", "lo").distinct().join(classes, ["n", "hi", "lo"]).select("id", "rep")
+    return stored(reps.where("rep != id").select(F.col("id").alias("a"), F.col("rep").alias("b")), "same")

@@ -3,10 +3,11 @@
 Both BPE families split a text with a regular expression over the classes letter, number, white space and other.
 The same split falls out of class changes between neighbours, with three local rules (the blank before a word,
 the last of several white spaces, and the seven English contractions), so whole batches are split without a loop
-over words. Pre-tokens are named by two 64-bit polynomial hashes and looked up in an open-addressing table."""
+over words. Pre-tokens are named by two 64-bit hashes with random factors and looked up in an open-addressing table."""
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from functools import lru_cache
 
@@ -17,7 +18,6 @@ from tokenizers.pre_tokenizers import Split
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
 def unlisted() -> str:
@@ -50,37 +50,37 @@ def lower_case() -> dict[int, str]:
     return {ord(x): y for x, y in zip(text, ours, strict=True) if x.lower() != y}
 
 
-_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
-
-
-def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each base: its powers and the powers of its inverse, modulo 2**64."""
-    if not _POWERS or len(_POWERS[0][0]) < n:
-        size = max(n, 1 << 20)
-        made = []
-        for b in BASES:
-            pair = []
-            for x in (int(b), pow(int(b), -1, 1 << 64)):
-                a = np.full(size, np.uint64(x), np.uint64)
-                a[0] = 1
-                pair.append(np.cumprod(a, dtype=np.uint64))
-            made.append(tuple(pair))
-        _POWERS[:] = made
-    return [(p[:n], q[:n]) for p, q in _POWERS]
-
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: tuple[int, ...] = (0, 1)) -> list[np.ndarray]:
-    """A 64-bit hash of each span of `values`, for each base: equal contents, equal hashes, wherever they stand."""
-    n = len(values)
-    out = []
-    table = powers(n + 1)
-    v = values.astype(np.uint64) + np.uint64(1)
-    for k in which:
-        p, q = table[k]
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(v * p[:n], out=total[1:])
-        out.append(mix((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(np.uint64)))
-    return out
+#: Drawn anew by every process: no text can be written to collide. Hashes that tasks share take a seed from the driver.
+SEED = int.from_bytes(os.urandom(8), "little")
+_FACTORS: dict[tuple[int, int], np.ndarray] = {}
+
+
+def factors(n: int, seed: int, which: int) -> np.ndarray:
+    """The first n of a stream of random 64-bit numbers, one stream for each seed and number."""
+    got = _FACTORS.get((seed, which))
+    if got is None or len(got) < n:
+        if len(_FACTORS) > 8:
+            _FACTORS.clear()
+        start = (seed + (which + 1) * 0xD1B54A32D192ED03) % (1 << 64)
+        got = mix(np.arange(max(n, 1 << 12), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(start)) | np.uint64(1)
+        _FACTORS[seed, which] = got
+    return got
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: tuple[int, ...] = (0, 1), seed: int | None = None) -> list[np.ndarray]:
+    """A 64-bit hash of each span of `values` for each number: equal contents, equal hashes, wherever they stand.
+
+    Each value is multiplied by a random factor of its place in the span (a multilinear hash), so that spans of unlike
+    contents collide with a probability of about 2**-64, whatever the contents, as long as the seed is unknown. Spans
+    are not empty."""
+    if not len(starts):
+        return [np.zeros(0, np.uint64) for _ in which]
+    length = ends - starts
+    first = np.cumsum(length) - length
+    place = np.arange(first[-1] + length[-1]) - np.repeat(first, length)
+    v = values[place + np.repeat(starts, length)].astype(np.uint64) + np.uint64(1)
+    top = int(length.max())
+    return [mix(np.add.reduceat(factors(top, SEED if seed is None else seed, k)[place] * v, first) + length.astype(np.uint64)) for k in which]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

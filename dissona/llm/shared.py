@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from dissona.sources.scratch import scratch, shared_dir, stored, table
+from dissona.sources.scratch import discard, scratch, shared_dir, stored, table
 
-__all__ = ["cuts", "scratch", "shared_dir", "slices", "stored", "table", "utf8"]
+__all__ = ["cuts", "discard", "scratch", "shared_dir", "slices", "stored", "table", "utf8"]
 
 #: Bytes of text that the vectorised kernels hold at a time; a longer single text is held alone.
 SLICE_BYTES = 1 << 20

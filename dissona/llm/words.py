@@ -15,10 +15,11 @@ ALNUM = np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def split_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None, seed: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, first word of each text and the end, lower-cased bytes).
 
-    Words are runs of bytes that are not blank or, with `inside`, that it flags; A-Z are lower-cased."""
+    Words are runs of bytes that are not blank or, with `inside`, that it flags; A-Z are lower-cased.
+    Tasks whose hashes meet pass one seed."""
     low = LOWER[data]
     word = inside[low] if inside is not None else ~BLANK[low]
     start = word.copy()
@@ -29,7 +30,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None
     end[:-1] &= ~word[1:]
     end[edge - 1] = word[edge - 1]
     begin, finish = np.flatnonzero(start), np.flatnonzero(end) + 1
-    (h,) = span_hashes(low, begin, finish, (0,)) if len(begin) else (np.zeros(0, np.uint64),)
+    (h,) = span_hashes(low, begin, finish, (0,), seed)
     return h, np.searchsorted(begin, offsets), low
 
 

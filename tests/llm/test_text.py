@@ -6,7 +6,6 @@ import random
 import re
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,22 +197,22 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     word = lambda: rng.choice("abcdefghijklmnop") + str(rng.randrange(30))
     texts = {}
-    for _ in range(8):
+    for copies in (1, 2, 2, 40):
         base = [word() for _ in range(rng.choice([20, 60, 150]))]
-        for _ in range(rng.choice([1, 2, 40])):
+        for _ in range(copies):
             t = list(base)
             for _ in range(rng.randrange(6)):
                 t[rng.randrange(len(t))] = word()
             texts[rng.randrange(10**6)] = " ".join(t)
     shared = " ".join(word() for _ in range(30))
-    for _ in range(60):  # one passage in many texts
+    for _ in range(20):  # one passage in many texts
         texts[rng.randrange(10**6)] = " ".join(word() for _ in range(25)) + " " + shared
     texts |= {10**7: "", 10**7 + 1: None, 10**7 + 2: "One two", 10**7 + 3: "one  TWO", 10**7 + 4: "x", 10**7 + 5: " \n"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = {k: (*v, v[1] == k) for k, v in near(texts).items()}
-    for small in (24, 3):  # the second one makes most nodes large, down to the last level
-        monkeypatch.setattr(minhash_dedup, "SMALL", small)
-        monkeypatch.setattr(minhash_dedup, "FULL", small * small)
+    for most, out in ((1024, 256), (8, 4)):  # the second makes many nodes large, and closes few of them
+        monkeypatch.setattr(minhash_dedup, "MOST", most)
+        monkeypatch.setattr(minhash_dedup, "OUT", out)
         assert {r["doc_id"]: tuple(r)[1:] for r in minhash_dedup.near_duplicates(df).collect()} == want
 
 
@@ -233,21 +232,23 @@ def test_near_duplicates_of_another_rule(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {k: k - k % 2 for k in texts}
 
 
-def test_pairs_at_the_threshold_meet_at_the_last_level(spark):
-    """Were all nodes large, every node still branches, and no more pairs are missed than stated."""
-    rng, pairs = np.random.default_rng(4), 3000
-    sig = rng.integers(0, 1 << 31, (pairs, 2, minhash_dedup.T), np.int32)
-    sig[:, 1] = np.where(rng.random((pairs, minhash_dedup.T)) < 0.85, sig[:, 0], sig[:, 1])
-    zero = pa.array(np.zeros(2 * pairs, np.int64))
-    sets = spark.createDataFrame(pa.table({"id": np.arange(2 * pairs), "n": zero, "s1": zero, "s2": zero, "sig": pa.array(list(sig.reshape(2 * pairs, -1)))})).cache()
-    first, mean = minhash_dedup.shape(85)
-    nodes = minhash_dedup._roots(sets, first)
-    for _ in range(2, minhash_dedup.LEVELS):
-        met = nodes.groupBy("key").agg(F.collect_list("id").alias("ids")).where("size(ids) = 2").select(F.col("key").alias("node"), F.explode("ids").alias("id")).cache()
-        nodes = minhash_dedup._children(sets.join(met, "id"), "node", mean).cache()
-        assert nodes.count() >= met.count()
-    last = nodes.groupBy("key").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 2")
-    assert last.select("id").distinct().count() >= pairs - 1
+def test_missed_pairs_are_as_stated():
+    """Pairs at the threshold whose nodes all stay large: simulated paths down to the last level."""
+    for threshold in (80, 85):
+        rng, (first, mean) = np.random.default_rng(threshold), minhash_dedup.shape(threshold)
+        missed, number, s = 0, 20_000, threshold / 100
+        equal = rng.random((number, minhash_dedup.T)) < s
+        for e in equal:
+            for k in range(first):
+                live = int(e[np.resize(minhash_dedup.PATHS, (first, minhash_dedup.DEPTH))[k]].all())
+                for _ in range(minhash_dedup.LEVELS - minhash_dedup.DEPTH):
+                    made = sum(int(mean) + (rng.random() < mean % 1) for _ in range(live))
+                    live = int(e[rng.integers(0, minhash_dedup.T, made)].sum())
+                if live:
+                    break
+            else:
+                missed += 1
+        assert missed <= 5  # 1 expected
 
 
 def test_near_duplicate_edges(spark, odd, empty):
@@ -256,6 +257,9 @@ def test_near_duplicate_edges(spark, odd, empty):
     assert len(got) == odd.count() and by[None] == (1, None, False) and by[10] == (2, 9, False) and by[9] == (2, 9, True)
     assert [r for r in got if r[0] == 3] == [(3, 1, 3, True)] * 2 and by[50] == (0, 50, True) and by[0] == (0, 0, True)
     assert minhash_dedup.near_duplicates(empty).count() == 0
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    two = spark.createDataFrame([(7, a), (7, b), (5, a), (9, b), (9, b), (8, a + " x")], "doc_id long, text string")
+    assert {(r[0], r[2]) for r in minhash_dedup.near_duplicates(two).collect()} == {(k, 5) for k in (5, 7, 8, 9)}  # 7 has both texts
 
 
 def test_pipeline(spark, odd, docs):
