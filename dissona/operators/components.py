@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dissona.sources.scratch import stored
+from dissona.sources.scratch import discard, stored
 
 
 def _step(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,9 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
     Nodes without an edge are absent. Loops and repeated edges do no harm. The edges of every round are written to the
     shared folder, which cuts the lineage; the number of rounds grows with the logarithm of the longest path."""
     edges = edges.where("a != b")
-    last = None
+    last = before = None
     while True:
         edges = stored(_step(_step(edges, True), False), "edges")
+        if before is not None:
+            discard(before)
+        before = edges
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             break

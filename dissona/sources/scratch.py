@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests on one machine) a temporary folder is set."""
+    """spark.checkpoint.dir of the session; where it is unset, a temporary folder on one machine, an error on a cluster."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         if not spark.sparkContext.getCheckpointDir():
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
         return conf
     made = spark.sparkContext.getCheckpointDir()
     if not made:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         made = "file://" + tempfile.mkdtemp(prefix="dissona-")
         spark.sparkContext.setCheckpointDir(made)
     return made
@@ -43,7 +46,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.scratch_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `stored` that nothing will read any more."""
+    for df in tables:
+        remove(df.sparkSession, df.scratch_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
