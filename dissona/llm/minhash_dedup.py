@@ -9,9 +9,10 @@ threshold, so that a pair at the threshold whose nodes stay large down to level
 at most MISSED.
 
 A node is compared in two steps. From the minhash values alone (a byte of each) a task finds the sets that may have a
-partner in the node which the links so far have not tied to them; only their texts are read, and their full shingle
-sets are intersected node by node, most similar pairs first, leaving out pairs that are tied meanwhile. So a group of
-thousands of near copies costs about a star, and a set goes to each of its nodes once, however many partners it has.
+partner in the node which the links so far have not tied to them; only their texts are read. Candidates that hang
+together over all nodes make a group; the full shingle sets of a group meet in one task, or those of each node if the
+group is larger than GROUP, and are intersected, most similar pairs first, leaving out pairs that are tied meanwhile.
+So a group of thousands of near copies costs about a star, and a set is sent once, however many partners it has.
 
 Equal sets collapse to one class before, named by two 64-bit sums of its hashes. Hashes are seeded anew by each run."""
 
@@ -35,7 +36,7 @@ from dissona.operators.components import components
 T, DEPTH, LEVELS = 128, 3, 8
 MOST, WEIGHT = 1024, 4_000_000  # sets, and shingles, of a node that is compared exhaustively (or of 16 sets)
 OUT = 256  # sets outside the largest component of a node, up to which they are compared with all of it
-FIRST = 2  # paths that are followed before the others: most links are found there
+GROUP = 4096  # candidate sets of a group that are verified in one task, of at most WEIGHT shingles
 SENT = 250_000  # ids (8 bytes each) that may be broadcast
 MET = 1.275  # children in which a pair at the threshold meets, on average
 MISSED = 5e-5
@@ -217,23 +218,38 @@ def ties(i: np.ndarray, j: np.ndarray, equal: np.ndarray, c: np.ndarray, sets: l
     return out
 
 
-NODE = "place long, id long, hi long, n long, low binary, c long, left boolean"
+def local_roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The first row of each row's component over the pairs."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        for i, j in pairs:
+            least = np.minimum(root[i], root[j])
+            np.minimum.at(root, i, least)
+            np.minimum.at(root, j, least)
+        root = root[root]
+        if (root == before).all():
+            return root
 
 
 def _with_partner(rows: DataFrame, threshold: int) -> DataFrame:
-    """The rows that may have a partner in their node."""
+    """The rows that may have a partner in their node, with the id of one (root) with which they hang together."""
     least = least_equal(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, nodes in _nodes(batches):
             n, values, c, left = _columns(whole)
-            keep = np.zeros(len(n), bool)
+            keep, root = np.zeros(len(n), bool), np.arange(len(n))
             for lo, hi in nodes:
-                for i, j, _ in candidates(n[lo:hi], values[lo:hi], c[lo:hi], left[lo:hi], threshold, least):
+                found = [x[:2] for x in candidates(n[lo:hi], values[lo:hi], c[lo:hi], left[lo:hi], threshold, least)]
+                for i, j in found:
                     keep[lo + i] = keep[lo + j] = True
-            yield whole.filter(pa.array(keep))
+                if found:
+                    root[lo:hi] = lo + local_roots(hi - lo, found)
+            yield whole.append_column("root", whole.column(1).take(pa.array(root))).filter(pa.array(keep))
 
-    return rows.repartition("place").sortWithinPartitions("place").mapInArrow(run, NODE)
+    kind = "place long, id long, hi long, n long, low binary, c long, left boolean, root long"
+    return rows.repartition("place").sortWithinPartitions("place").mapInArrow(run, kind)
 
 
 def _tied(rows: DataFrame, threshold: int) -> DataFrame:
@@ -302,29 +318,39 @@ class _Search:
         self.labels = stored(old.unionAll(fresh), "labels")
         discard(labels, new)
 
-    def compare(self, rows: DataFrame) -> None:
-        """Tie the sets of each node: rows (place, id, hi, n, left)."""
+    def compare(self, rows: DataFrame, gather: bool = False) -> None:
+        """Tie the sets of each node: rows (place, id, hi, n, left). gather: candidates may meet beyond their nodes."""
         rows = self.named(rows)
         apart = rows.groupBy("place").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("place")
         values = self.reps.select("id", "hi", "low")
         rows = rows.join(apart, "place").join(values, ["id", "hi"]).select("place", "id", "hi", "n", "low", "c", "left")
-        chosen = stored(_with_partner(rows, self.threshold), "chosen")
+        made = [chosen := stored(_with_partner(rows, self.threshold), "chosen")]
         ids = stored(chosen.select("id").distinct(), "ids")
         number = ids.count()
         if number:
             few = F.broadcast(ids) if number <= SENT else ids  # so few ids reach the tasks whole, and no text is shuffled to find theirs
             sets = _full_sets(self.texts.join(few, "id", "left_semi").dropDuplicates(["id", "text"]), self.n, self.seed)
-            links = stored(_tied(chosen.join(sets, ["id", "hi"]).select(*chosen.columns, "set"), self.threshold), "links")
+            kind = ["place", "id", "hi", "n", "low", "c", "left"]
+            if gather:
+                edges = chosen.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()
+                group = stored(components(edges).withColumnRenamed("component", "g"), "groups")
+                members = chosen.dropDuplicates(["id", "hi"]).join(group, "id")
+                small = group.join(members.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("w")), "g").where(((F.col("m") <= GROUP) & (F.col("w") <= WEIGHT)) | (F.col("m") <= 16)).select("id", "g")
+                small = stored(small, "small")
+                made += [group, small]
+                alone = chosen.join(small.select("id"), "id", "left_anti").select(*kind)
+                chosen = members.drop("g", "place").join(small, "id").withColumn("place", F.xxhash64("g", F.lit(-7))).select(*kind).unionAll(alone)
+            links = stored(_tied(chosen.select(*kind).join(sets, ["id", "hi"]).select(*kind, "set"), self.threshold), "links")
             self.merge(links)
-            discard(links)
-        discard(chosen, ids)
+            made.append(links)
+        discard(*made, ids)
 
     def follow(self, entries: DataFrame) -> DataFrame:
         """Compare the small nodes of entries (key, id, hi, n); the entries of the others, with the node's m and w."""
         counted = entries.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("w")).where("m > 1")
         met = stored(entries.join(counted, "key"), "nodes")
         small = (F.col("m") <= MOST) & ((F.col("w") <= WEIGHT) | (F.col("m") <= 16))
-        self.compare(met.where(small).select(F.col("key").alias("place"), "id", "hi", "n", F.lit(True).alias("left")))
+        self.compare(met.where(small).select(F.col("key").alias("place"), "id", "hi", "n", F.lit(True).alias("left")), gather=True)
         large = stored(met.where(~small), "large")
         discard(met)
         return large
@@ -377,14 +403,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     every = stored(sketch_sets(texts, n, first, seed), "sets")
     some = every.where("n > 0 AND id IS NOT NULL")
     classes = stored(some.groupBy("n", "hi", "lo").agg(F.min("id").alias("rep")), "classes")
-    reps = some.join(classes.select(F.col("rep").alias("id"), "n", "hi", "lo"), ["id", "n", "hi", "lo"], "left_semi").dropDuplicates(["id", "hi"])
+    reps = some.join(classes.select(F.col("rep").alias("id"), "n", "hi", "lo"), ["id", "n", "hi", "lo"], "left_semi").dropDuplicates(["id", "n", "hi", "lo"])
     reps = stored(reps.select("id", "hi", "n", "low", "high", "keys"), "reps")
     search = _Search(texts, reps, n, threshold, seed)
     search.merge(_same_key(some, classes))
-    large = None
-    for at, number in ((1, FIRST), (FIRST + 1, first - FIRST)):
-        grown = search.follow(reps.select(F.explode(F.slice("keys", at, number)).alias("key"), "id", "hi", "n"))
-        large = grown if large is None else stored(large.unionAll(grown), "large")
+    large = search.follow(reps.select(F.explode("keys").alias("key"), "id", "hi", "n"))
     while not large.isEmpty():
         large = search.branch(large, mean)
     discard(reps)
