@@ -22,6 +22,7 @@ SAMPLE = 1600  # labelled texts that are learnt from
 PLACES, PLACE_CHARS = 4, 256
 BLOCK = 512  # windows at a time
 UNKNOWN = "und"
+SURE = 0.1  # share of the way from chance (one over the number of languages) to 1 that a kept document's score has gone
 
 
 @dataclass
@@ -183,10 +184,13 @@ def language_id(docs: DataFrame, net: Network | None, key: str = "doc_id", text:
     return rows.mapInArrow(run, "key long, held_out boolean, lang_pred string, score double").withColumnRenamed("key", key)
 
 
-def known_language(docs: DataFrame, net: Network | None, least: float = 0.3, text: str = "text") -> DataFrame:
-    """The rows, all columns, whose text gets a language with a score of at least `least`; others go."""
+def known_language(docs: DataFrame, net: Network | None, sure: float = SURE, text: str = "text") -> DataFrame:
+    """The rows, all columns, whose text gets a language with a score that stands `sure` of the way from chance to
+    certainty; others go, null, empty and letterless texts among them. Without a network, for want of labelled rows,
+    every text with a letter stays. Repeated rows stay as they are."""
     if net is None:
-        return docs.limit(0)
+        return docs.where(docs[text].rlike(r"\p{L}"))
+    least = 1 / len(net.languages) + sure * (1 - 1 / len(net.languages))
     letters = "__letters"
     while letters in docs.columns:
         letters += "_"

@@ -39,6 +39,7 @@ def test_language_edges(spark, odd, empty):
     kept = language_id.known_language(odd, net)
     assert kept.schema == odd.schema and kept.count() == odd.count() - 4
     assert language_id.known_language(empty, net).count() == 0
+    assert language_id.known_language(odd, None).collect() == [r for r in odd.collect() if re.search(r"[^\W\d_]", r["text"] or "")]
 
 
 def test_convolution_gradient():
@@ -171,14 +172,14 @@ def test_decontamination_edges(spark, odd, empty):
     assert decontaminate.clean(odd, b).schema == odd.schema
 
 
-def shingled(t):
+def shingled(t, n=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    return {tuple(w)} if 0 < len(w) < 3 else {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    return {tuple(w)} if 0 < len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
-def near(texts):
+def near(texts, n=3, threshold=85):
     """(set size, component) by brute force; texts: key to text."""
-    sets, root = {k: shingled(t) for k, t in texts.items()}, {k: k for k in texts}
+    sets, root = {k: shingled(t, n) for k, t in texts.items()}, {k: k for k in texts}
 
     def find(x):
         while root[x] != x:
@@ -187,7 +188,7 @@ def near(texts):
 
     for a in texts:
         for b in texts:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {k: (len(sets[k]), find(k)) for k in texts}
@@ -264,7 +265,7 @@ def test_near_duplicate_edges(spark, odd, empty):
 
 def test_pipeline(spark, odd, docs):
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
-    named = near(rows)
+    named = near(rows, 5, 80)
     b = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     left = docs
     columns = docs.columns
@@ -284,5 +285,13 @@ def test_pipeline(spark, odd, docs):
         kept = set(now)
     out = corpus_pipeline.STAGES[4][1](spark, left, SF)
     assert {r["doc_id"] for r in out.collect()} == kept
+
+
+def test_one_of_each_with_repeated_ids(spark, odd):
     once = corpus_pipeline.one_of_each(spark, odd, SF)
     assert once.schema == odd.schema and once.where("doc_id = 3").count() == 1 and once.where("doc_id IS NULL").count() == 1
+    rows = [(1, "one text of its own", {"a": 1}, 77), (1, "quite another text", {"b": 2}, 88), (2, "One  text of its own", None, 5), (1, "one text of its own", {"a": 0}, 77), (3, "", None, 1), (3, None, {}, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, many map<string,int>, key long")
+    got = corpus_pipeline.one_of_each(spark, docs, SF)
+    assert got.schema == docs.schema
+    assert sorted(map(str, got.collect())) == sorted(map(str, docs.where("doc_id = 3 OR key = 88 OR many['a'] = 0").collect()))
