@@ -1,8 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Seeds are runs of LEAST words that a document shares with a benchmark item, found with a rolling (Karp-Rabin) hash of
-every position against the hashes of the items. The seeds of a pair on one diagonal join to maximal matches; the
-longest is marked as a tile, matches that overlap it are cut back, and so on until no match of LEAST words is left.
+Seeds are runs of LEAST words that a document shares with a benchmark item, found by joining the (Karp-Rabin) hash of
+every position with those of the items. Seeds whose words before differ are followed word by word to maximal matches;
+the longest is marked as a tile, matches that overlap it are cut back, and so on until no match of LEAST words is left.
 A document is contaminated by an item if its tiles cover at least COVERAGE of the item's words, in whatever order
 they stand, so passages that were reordered or interrupted count in full.
 
@@ -11,6 +11,7 @@ Documents never move: the items, in blocks of at most BLOCK_BYTES of text, go to
 from __future__ import annotations
 
 import heapq
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -26,117 +27,164 @@ from dissona.llm.words import ALNUM, runs, split_words
 
 LEAST, COVERAGE = 5, 0.5
 BLOCK_BYTES = 16 << 20
+MATCHES = 1 << 21
 
 
 @dataclass
 class Block:
-    """Some items: their words as hashes, and the runs of `least` words, sorted, with item and position.
+    """Some items: their words as hashes, one after the other, and the runs of `least` words, sorted by hash and by the
+    word before, with item and position.
 
     Items of fewer than `least` words are kept whole: all their words in order are the one run."""
 
     ids: list
-    words: list[np.ndarray]
-    least: int
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by length of run: hashes, items, positions
+    flat: np.ndarray
+    first: np.ndarray  # of each item in flat, and the end
+    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by length of run: hashes, words before, items, positions
+    seed: int  # of the hashes
 
 
 def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return utf8(pc.utf8_lower(column))
 
 
+def before(h: np.ndarray, first: np.ndarray, none: int) -> np.ndarray:
+    """The word before each word; `none` where a text begins."""
+    out = np.empty_like(h)
+    out[1:] = h[:-1]
+    out[first[:-1][np.diff(first) > 0]] = none
+    return out
+
+
 def block(ids: list, texts: list[str | None], least: int = LEAST) -> Block:
+    seed = secrets.randbits(63)
     data, offsets = lowered(pa.array(texts, pa.string()))
-    h, first, _ = split_words(data, offsets, ALNUM)
-    words = [h[first[i] : first[i + 1]] for i in range(len(ids))]
-    seeds = {}
-    for n in sorted({min(least, len(w)) for w in words} - {0}):
-        mine = [i for i, w in enumerate(words) if min(least, len(w)) == n]
-        flat = np.concatenate([words[i] for i in mine])
-        edges = np.concatenate([[0], np.cumsum([len(words[i]) for i in mine])])
-        run, whole = runs(flat, edges, n)
-        item = np.repeat(mine, np.diff(edges))[whole]
-        at = (np.arange(len(flat)) - np.repeat(edges[:-1], np.diff(edges)))[whole]
-        order = np.argsort(run[whole], kind="stable")
-        seeds[n] = (run[whole][order], item[order], at[order])
-    return Block(ids, words, least, seeds)
-
-
-def maximal(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int, int]]:
-    """Seeds (position in the item, in the document) of n words to maximal matches (length, item, document)."""
-    order = np.lexsort((a, b - a))
-    a, b = a[order], b[order]
-    cut = np.flatnonzero(np.concatenate([[True], (np.diff(b - a) != 0) | (np.diff(a) != 1)]))
-    size = np.diff(np.append(cut, len(a))) + n - 1
-    return [*zip(size.tolist(), a[cut].tolist(), b[cut].tolist(), strict=True)]
+    h, first, _ = split_words(data, offsets, ALNUM, seed)
+    size, seeds = np.diff(first), {}
+    row = np.repeat(np.arange(len(ids)), size)
+    at, prior = np.arange(len(h)) - np.repeat(first[:-1], size), before(h, first, 0)
+    for n in sorted(set(np.minimum(size, least).tolist()) - {0}):
+        run, whole = runs(h, first, n)
+        mine = np.flatnonzero(whole & (np.minimum(size, least)[row] == n))
+        mine = mine[np.lexsort((prior[mine], run[mine]))]
+        seeds[n] = (run[mine], prior[mine], row[mine], at[mine])
+    return Block(ids, h, first, seeds, seed)
+
+
+def bisect(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray, right: bool) -> np.ndarray:
+    """Where each x belongs in its own sorted range of values."""
+    lo, hi = lo.copy(), hi.copy()
+    while (live := lo < hi).any():
+        mid = (lo + hi) // 2
+        v = values[np.minimum(mid, len(values) - 1)]
+        up = live & ((v <= x) if right else (v < x))
+        lo = np.where(up, mid + 1, lo)
+        hi = np.where(live & ~up, mid, hi)
+    return lo
 
 
 def tiles(matches: list[tuple[int, int, int]], n_item: int, least: int) -> list[tuple[int, int, int]]:
     """Greedy tiling: longest match first (then earliest in the item, then in the document); no word is used twice."""
     heap = [(-s, a, b) for s, a, b in matches]
     heapq.heapify(heap)
-    item, doc, out = bytearray(n_item), set(), []
-    while heap:
+    low = min(b for _, _, b in matches)
+    item, doc = np.zeros(n_item, bool), np.zeros(max(b + s for s, _, b in matches) - low, bool)
+    out, free = [], n_item
+    while heap and free >= least:
         s, a, b = heapq.heappop(heap)
-        free = [not item[a + k] and b + k not in doc for k in range(-s)]
-        if all(free):
+        x, y = item[a : a - s], doc[b - low : b - low - s]
+        taken = x | y
+        if not taken.any():
             out.append((-s, a, b))
-            item[a : a - s] = b"\1" * -s
-            doc.update(range(b, b - s))
+            x[:] = y[:] = True
+            free += s
             continue
-        k = 0
-        while k < len(free):  # what is left of it may still be long enough
-            e = k
-            while e < len(free) and free[e]:
-                e += 1
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))  # what is left of it may still be long enough
+        for k, e in edge.reshape(-1, 2).tolist():
             if e - k >= least:
                 heapq.heappush(heap, (k - e, a + k, b + k))
-            k = e + 1
     return out
 
 
+def covered(matches: list[tuple[int, int, int]], n_item: int) -> int:
+    """Words of the item in any match."""
+    step = np.zeros(n_item + 1, np.int64)
+    for s, a, _ in matches:
+        step[a] += 1
+        step[a + s] -= 1
+    return int(np.count_nonzero(np.cumsum(step)))
+
+
+def maximal(known: Block, n: int, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, item, position in the item, in the text, words) of the matches of n words and more that nothing extends.
+
+    A match begins where the words before differ, so of a seed that repeats on both sides only such pairs are formed;
+    then it is followed word by word. About MATCHES at a time; all of a text and an item stand in one part."""
+    hashes, priors, items, positions = known.seeds[n]
+    run, whole = runs(h, first, n)
+    at = np.flatnonzero(whole)
+    lo = np.searchsorted(hashes, run[at], "left")
+    hit = hashes[np.minimum(lo, len(hashes) - 1)] == run[at]
+    at, lo = at[hit], lo[hit]
+    hi = np.searchsorted(hashes, run[at], "right")
+    prior = before(h, first, 1)[at]
+    a, b = bisect(priors, lo, hi, prior, False), bisect(priors, lo, hi, prior, True)
+    row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    number = (hi - lo) - (b - a)
+    rows, start = np.unique(row_of[at], return_index=True)
+    total = np.add.reduceat(number, start) if len(rows) else number
+    chunk = np.cumsum(total) // MATCHES
+    for c in np.unique(chunk).tolist():
+        part = np.flatnonzero(np.isin(row_of[at], rows[chunk == c]) & (number > 0))
+        k = number[part]
+        order = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)  # leave out the block with the same word before
+        flat = np.repeat(lo[part], k) + order
+        flat += np.where(flat >= np.repeat(a[part], k), np.repeat((b - a)[part], k), 0)
+        doc, item = np.repeat(at[part], k), items[flat]
+        pos = positions[flat]
+        x, y = known.first[item] + pos, doc
+        left = np.minimum(known.first[item + 1] - x, first[row_of[doc] + 1] - y)
+        size, live, length = np.zeros(len(x), np.int64), np.arange(len(x)), 0
+        while len(live):
+            live = live[left[live] > length]
+            live = live[known.flat[x[live] + length] == h[y[live] + length]]
+            length += 1
+            size[live] = length
+        keep = size >= n
+        yield row_of[doc[keep]], item[keep], pos[keep], doc[keep] - first[row_of[doc[keep]]], size[keep]
+
+
 def contaminations(known: Block, data: np.ndarray, offsets: np.ndarray, coverage: float) -> list[tuple[int, int, float, int, int]]:
     """(row, item, covered share, tiles, longest tile) of the texts that an item contaminates."""
-    h, first, _ = split_words(data, offsets, ALNUM)
+    h, first, _ = split_words(data, offsets, ALNUM, known.seed)
     out = []
-    row_of = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    for n, (hashes, items, positions) in known.seeds.items():
-        run, whole = runs(h, first, n)
-        at = np.flatnonzero(whole)
-        lo = np.searchsorted(hashes, run[at], "left")
-        hit = hashes[np.minimum(lo, len(hashes) - 1)] == run[at]
-        at, lo = at[hit], lo[hit]
-        if not len(at):
-            continue
-        number = np.searchsorted(hashes, run[at], "right") - lo
-        flat = np.repeat(lo - (np.cumsum(number) - number), number) + np.arange(number.sum())
-        doc = np.repeat(at, number)
-        item, pos, row = items[flat], positions[flat], row_of[doc]
-        order = np.lexsort((item, row))
-        item, pos, row, doc = item[order], pos[order], row[order], doc[order]
-        cut = np.append(np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(item) != 0)])), len(row))
-        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            i, r = int(item[x]), int(row[x])
-            size = len(known.words[i])
-            if len(np.unique(pos[x:y])) + (n - 1) * min(y - x, -(-size // n)) < coverage * size:
-                continue  # even all seeds apart would not cover enough
-            found = tiles(maximal(pos[x:y], doc[x:y] - first[r], n), size, n)
-            covered = sum(t[0] for t in found) / size
-            if covered >= coverage:
-                out.append((r, i, covered, len(found), max(t[0] for t in found)))
+    for n in known.seeds:
+        for row, item, pos, doc, size in maximal(known, n, h, first):
+            order = np.lexsort((item, row))
+            row, item, pos, doc, size = (v[order] for v in (row, item, pos, doc, size))
+            cut = np.append(np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(item) != 0)])), len(row)) if len(row) else np.zeros(1, np.int64)
+            for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                i, r = int(item[x]), int(row[x])
+                words = int(known.first[i + 1] - known.first[i])
+                matches = [*zip(size[x:y].tolist(), pos[x:y].tolist(), doc[x:y].tolist(), strict=True)]
+                if covered(matches, words) < coverage * words:
+                    continue  # even if all were tiles they would not cover enough
+                found = tiles(matches, words, n)
+                share = sum(t[0] for t in found) / words
+                if share >= coverage:
+                    out.append((r, i, share, len(found), max(t[0] for t in found)))
     return sorted(out)
 
 
-def blocks(benchmark: DataFrame, item: str, text: str, least: int, most: int) -> list[Block]:
-    """The items dealt into blocks of about `most` bytes by a hash; the driver holds them (only the test set, in blocks)."""
+def blocks(benchmark: DataFrame, item: str, text: str, least: int, most: int) -> Iterator[Block]:
+    """The items dealt into blocks of about `most` bytes by a hash; the driver holds one at a time."""
     rows = benchmark.select(benchmark[item].cast("long").alias("i"), benchmark[text].alias("t")).where(F.col("t").isNotNull())
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-size // most))
-    out = []
     for k in range(n):
         part = (rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else rows).orderBy("i", "t").collect()
         if part:
-            out.append(block([r["i"] for r in part], [r["t"] for r in part], least))
-    return out
+            yield block([r["i"] for r in part], [r["t"] for r in part], least)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", coverage: float = COVERAGE, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -144,7 +192,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     Words are lower-cased runs of letters, digits and all non-ASCII characters. Null, empty and wordless texts on
     either side match nothing; an item of fewer than `least` words must stand whole. Repeated rows of a document give
-    repeated results, repeated items a row each. Only the named columns are read."""
+    repeated results, repeated items a row each. A very long text is one row to its task; what it needs follows its words
+and maximal matches, not the product of repeats. Only the named columns are read."""
     known = blocks(benchmark, item, text, least, block_bytes)
     spark = docs.sparkSession
     ddl = f"`{key}` long, `{item}` long, coverage double, n_tiles long, longest_tile long, contaminated boolean"
@@ -170,7 +219,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows, all columns, that no item contaminates. Each block of items is one more pass in the same task."""
+    """The rows, all columns, that no item contaminates. Each block of items is one more pass in the same task.
+
+    Null, empty and wordless texts stay, and so do repeated rows that are clean."""
     at = docs.columns.index(text)
     out = docs
     for b in blocks(benchmark, item, item_text, least, block_bytes):

@@ -165,6 +165,16 @@ def test_tiling_equals_brute_force(spark):
     assert {r["doc_id"] for r in decontaminate.clean(d, b, block_bytes=40).collect()} == set(range(len(texts))) - {i for i, _ in want}
 
 
+def test_tiling_of_repeats_takes_linear_time():
+    """Items and texts of one word, of two in turn, and of a repeated line."""
+    line = " ".join(f"w{i}" for i in range(20)) + " "
+    known = decontaminate.block([1, 2, 3], ["la " * 2000, "la li " * 1000, line * 100])
+    for t, want in (("la " * 100_000, [0]), ("la li " * 50_000, [1]), (line * 5000, [2])):
+        data = np.frombuffer(t.encode(), np.uint8)
+        got = decontaminate.contaminations(known, data, np.array([0, len(data)]), 0.5)
+        assert [(i, c) for _, i, c, _, _ in got] == [(i, 1.0) for i in want]
+
+
 def test_decontamination_edges(spark, odd, empty):
     b = spark.createDataFrame([(1, None), (2, ""), (3, "  ,, "), (4, "same text here now"), (4, "same text here now")], "item_id long, text string")
     assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(odd, b).collect()) == [(9, 4), (9, 4), (10, 4), (10, 4)]
