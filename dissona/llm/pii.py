@@ -1,16 +1,18 @@
 """Personal data: exact patterns, plus a character-level bidirectional LSTM with CRF transitions (see `tagger`).
 
 The network is trained in numpy from labelled spans: a bounded sample of texts labelled by the patterns, and made
-lines with the same kinds in other spellings. Texts are cut into overlapping windows of WINDOW characters every STEP;
-each is decoded, every character takes its tag from the window in which it stands most central, and the tags of a
-text are joined before spans are read, so a span may cross windows. A span must hold an anchor (a digit or @): hence
-windows without one are all outside by definition and are not run. Spans of the patterns always stay; a decoded span
-is added if it overlaps none of them and has the shape of its kind."""
+lines that also hold what the patterns miss: other spellings, and secrets (keys and tokens), a kind that has no
+pattern. Texts are cut into overlapping windows of WINDOW characters every STEP; each is
+decoded, every character takes its tag from the window in which it stands most central, and the tags of a text are
+joined before spans are read, so a span may cross windows. A span must hold an anchor (a digit or @): hence windows
+without one are all outside by definition and are not run. Spans of the patterns always stay; a decoded span is added
+if it overlaps none of them and is of a length (a card: a check digit) that its kind can have."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from dissona.llm.shared import utf8
 from dissona.llm.tagger import Tagger, char_ids
 
-KINDS = ["email", "ip", "card", "phone"]
+KINDS = ["email", "ip", "card", "phone"]  # those with patterns
+EVERY = [*KINDS, "secret"]
 WINDOW, STEP = 128, 64
 SAMPLE, CONTEXT = 400, 400  # texts that are labelled by the patterns, and characters of each
 BLOCK = 1024  # windows at a time
@@ -86,22 +89,20 @@ def base_spans(text: str) -> list[Span]:
 
 
 def fits(kind: int, s: str) -> bool:
-    """The shape that a decoded span must have."""
+    """What a decoded span must have, by its kind: an @ with sides, or so many digits or characters."""
     if kind == 0:
-        return bool(re.fullmatch(r"[^\s@]+ ?@ ?[^\s@]+\.[^\s@.]{2,}", s))
-    if kind == 1:
-        return bool(re.fullmatch(r"[0-9]{1,3}( ?[.,] ?[0-9]{1,3}){3}", s)) and all(int(x) <= 255 for x in re.findall("[0-9]+", s))
-    if kind == 2:
-        return bool(re.fullmatch(r"[0-9][0-9 ./ -]*[0-9]", s)) and card_fits(s)
-    d = digits_of(s)
-    return 10 <= len(d) <= 15 and bool(re.fullmatch(r"[+(]?[0-9][0-9 (). /-]*[0-9]", s)) and len(re.findall("[0-9]+", s)) >= 3
+        return bool(re.fullmatch(r"\S+ ?@ ?\S+", s))
+    n = len(digits_of(s))
+    return [n >= 4, 13 <= n <= 19 and luhn(digits_of(s)), 9 <= n <= 15, len(s) >= 12 and " " not in s][kind - 1]
 
 
 # -- training
 
 
-def _made(rng: np.random.Generator, n: int) -> list[tuple[str, list[Span]]]:
-    """Lines of made words with labelled spans in many spellings, and with numbers that are no personal data."""
+def _made(rng: np.random.Generator, n: int, held: bool = False) -> list[tuple[str, list[Span]]]:
+    """Lines of made words with labelled spans in many spellings, and with numbers that are no personal data.
+
+    held: spellings that training never sees."""
     pick = lambda *x: x[int(rng.integers(len(x)))]
     num = lambda k: "".join(map(str, rng.integers(0, 10, k)))
     word = lambda: "".join(pick(*"etaoinshrdlucm") for _ in range(rng.integers(2, 9)))
@@ -114,19 +115,33 @@ def _made(rng: np.random.Generator, n: int) -> list[tuple[str, list[Span]]]:
 
     def phone() -> str:
         a, b, c = pick("2", "5", "8") + num(2), num(3), num(4)
+        if held:
+            return pick(f"({a}) {b}.{c}", f"1 {a} {b} {c}", f"00 {num(2)} {num(4)} {num(5)}")
         return pick(f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{num(2)} {num(3)} {num(3)} {num(3)}", f"00{num(2)} {a} {num(7)}")
 
     def email() -> str:
         local = pick(word() + "." + word(), word() + num(2), word() + "." + num(2), "jür" + word())
-        return pick("{}@{}", "{}@{}", "{} @ {}", "{}@ {}").format(local, pick(word() + ".com", "mail" + num(1) + ".example.com", word() + ".co.uk", "bü" + word() + ".de"))
+        return pick(*(["{} @{}"] if held else ["{}@{}", "{}@{}", "{} @ {}", "{}@ {}"])).format(local, pick(word() + ".com", "mail" + num(1) + ".example.com", word() + ".co.uk", "bü" + word() + ".de"))
 
     def ip() -> str:
-        return pick(".", ".", ".", " . ", ",").join(str(x) for x in rng.integers(0, 256, 4))
+        return pick(*([". ", " ."] if held else [".", ".", ".", " . ", ","])).join(str(x) for x in rng.integers(0, 256, 4))
+
+    def secret() -> str:
+        """The value alone is labelled; what stands before it is added to the text."""
+        nonlocal text
+        chars = pick("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+        if not held and rng.random() < 0.2:
+            return pick("AKIA", "ghp_", "sk-") + num(2) + "".join(pick(*chars) for _ in range(16))
+        name = pick("passwd", "client_key", "pass_token", "my.token") if held else pick("token", "api_key", "secret", "password", "key", "auth", "access_token")
+        text += name + pick(" = ", "=", ": ", ":", " ") + pick('"', "'", "")
+        s = [pick(*chars) for _ in range(rng.integers(16, 64))]
+        s[int(rng.integers(len(s)))] = num(1)
+        return "".join(s)
 
     plain = [
         lambda: num(int(rng.integers(1, 9))), lambda: f"{rng.integers(1990, 2030)}-0{rng.integers(1, 9)}-{rng.integers(10, 29)}", lambda: f"{num(1)}.{num(1)}", lambda: f"version {num(1)}.{num(2)}.{num(1)}",
-        lambda: "".join(pick(*"0123456789abcdef") for _ in range(rng.integers(8, 40))), lambda: "AKIA" + "".join(pick(*"ABCDEFGH234567") for _ in range(16)), lambda: f"${num(3)},{num(3)}.{num(2)}",
-        lambda: num(int(rng.integers(10, 24))), lambda: f"{num(3)}-{num(2)}", lambda: f"@{word()}", lambda: f"({rng.integers(1900, 2030)})", lambda: f"{num(2)}:{num(2)}:{num(2)}",
+        lambda: pick("", "sha ", "commit ") + "".join(pick(*"0123456789abcdef") for _ in range(rng.integers(8, 40))), lambda: f"${num(3)},{num(3)}.{num(2)}",
+        lambda: num(int(rng.integers(20, 27))), lambda: num(16), lambda: f"{num(3)}-{num(2)}", lambda: f"@{word()}", lambda: f"({rng.integers(1900, 2030)})", lambda: f"{num(2)}:{num(2)}:{num(2)}",
     ]
     out = []
     for _ in range(n):
@@ -135,10 +150,10 @@ def _made(rng: np.random.Generator, n: int) -> list[tuple[str, list[Span]]]:
             text += " ".join(word() for _ in range(rng.integers(1, 9))) + pick(" ", " ", ", ", ". ", "\n")
             r = rng.random()
             if r < 0.45:
-                k = int(rng.integers(4))
-                s = (email, ip, card, phone)[k]()
+                k = int(rng.integers(5))
+                s = (email, ip, card, phone, secret)[k]()
                 spans.append((k, len(text), len(text) + len(s)))
-                text += s + pick(" ", " ", ".", ", ")
+                text += s + pick(" ", " ", ".", ", ", '" ', "' ")
             elif r < 0.75:
                 text += pick(*plain)() + pick(" ", " ", ".", ", ")
         out.append((text, spans))
@@ -169,7 +184,7 @@ def labelled(pairs: list[tuple[str, list[Span]]], rng: np.random.Generator) -> t
 def _train(texts: tuple[str, ...], steps: int) -> Tagger:
     rng = np.random.default_rng(11)
     pairs = _made(rng, 2400) + [(t, base_spans(t)) for t in texts for _ in range(2)]
-    tagger = Tagger(KINDS)
+    tagger = Tagger(EVERY)
     tagger.fit(*labelled(pairs, rng), steps=steps)
     return tagger
 
@@ -195,45 +210,42 @@ def fit(docs: DataFrame | None = None, key: str = "doc_id", text: str = "text",
 
 
 def added_spans(tagger: Tagger, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
-    """Spans that the network adds to those of the patterns, text by text."""
-    where, rows, cuts = [], [], []
-    coded = [char_ids(t) for t in texts]
-    for i, c in enumerate(coded):
-        anchor = ((c >= char_ids("0")[0]) & (c <= char_ids("9")[0])) | (c == char_ids("@")[0])
-        count = np.concatenate([[0], np.cumsum(anchor)])
-        starts = np.arange(0, max(1, len(c) - WINDOW + STEP), STEP)
-        live = starts[count[np.minimum(starts + WINDOW, len(c))] > count[starts]]
-        for s in live.tolist():
-            x = np.zeros(WINDOW, np.int64)
-            part = c[s : s + WINDOW]
-            x[: len(part)] = part
-            rows.append(x)
-            where.append(i)
-            cuts.append(s)
-    tags = {i: np.zeros(len(coded[i]), np.int8) for i in set(where)}
-    margin = (WINDOW - STEP) // 2
-    for lo in range(0, len(rows), BLOCK):
-        got = tagger.decode(np.array(rows[lo : lo + BLOCK]))
-        for i, s, y in zip(where[lo : lo + BLOCK], cuts[lo : lo + BLOCK], got, strict=True):
-            n = len(coded[i])
-            a = s if s == 0 else s + margin
-            b = n if s + WINDOW >= n else s + WINDOW - margin
-            tags[i][a:b] = y[a - s : b - s]
+    """Spans that the network adds to those of the patterns, text by text.
+
+    The texts stand in one array with a window of padding behind each; what is held besides follows their length."""
+    size = np.array([len(t) for t in texts], np.int64)
+    first = np.cumsum(size + WINDOW) - (size + WINDOW)
+    codes = np.zeros(int((size + WINDOW).sum()), np.uint8)
+    for t, at in zip(texts, first.tolist(), strict=True):
+        codes[at : at + len(t)] = char_ids(t)
+    anchor = ((codes >= char_ids("0")[0]) & (codes <= char_ids("9")[0])) | (codes == char_ids("@")[0])
+    count = np.concatenate([[0], np.cumsum(anchor, dtype=np.int32)])
+    number = np.maximum(1, -(-(size - WINDOW) // STEP) + 1)  # windows of each text
+    owner = np.repeat(np.arange(len(texts)), number)
+    start = (np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)) * STEP
+    live = np.flatnonzero(count[first[owner] + np.minimum(start + WINDOW, size[owner])] > count[first[owner] + start])
+    tags, view = np.zeros(len(codes), np.int8), np.lib.stride_tricks.sliding_window_view(codes, WINDOW)
+    margin, column = (WINDOW - STEP) // 2, np.arange(WINDOW)
+    for lo in range(0, len(live), BLOCK):
+        o, s = owner[live[lo : lo + BLOCK]], start[live[lo : lo + BLOCK]]
+        got = tagger.decode(view[first[o] + s].astype(np.int64))
+        a = np.where(s == 0, 0, margin)
+        b = np.where(s + WINDOW >= size[o], size[o] - s, WINDOW - margin)
+        take = (column >= a[:, None]) & (column < b[:, None])
+        tags[((first[o] + s)[:, None] + column)[take]] = got[take]
+    kind, prior = (tags.astype(np.int64) - 1) // 2, np.concatenate([[0], tags[:-1]])
+    begin = np.flatnonzero((tags > 0) & ((tags % 2 == 1) | (prior == 0) | (np.concatenate([[-1], kind[:-1]]) != kind)))
+    stop = np.flatnonzero((tags == 0) | np.isin(np.arange(len(tags)), begin))
     out: list[list[Span]] = [[] for _ in texts]
-    for i, t in tags.items():
-        taken = np.zeros(len(t) + 1, bool)
-        for _, a, b in base[i]:
-            taken[a:b] = True
-        at = 0
-        hits = np.flatnonzero(t)
-        while len(hits):
-            at = int(hits[0])
-            kind = (int(t[at]) - 1) // 2
-            inside = t[at + 1 :] == 2 + 2 * kind
-            end = at + 1 + (int(np.argmin(inside)) if not inside.all() else len(inside))
-            if not taken[at:end].any() and ANCHOR.search(texts[i], at, end) and fits(kind, texts[i][at:end]):
-                out[i].append((kind, at, end))
-            hits = hits[hits >= end]
+    for at in begin.tolist():
+        end = int(stop[np.searchsorted(stop, at, "right")])
+        i = int(np.searchsorted(first, at, "right")) - 1
+        k, x, y = int(kind[at]), at - int(first[i]), end - int(first[i])
+        near = bisect_right(base[i], x, key=lambda s: s[1])
+        if any(p < y and q > x for _, p, q in base[i][max(0, near - len(EVERY)) : near + 1]):
+            continue
+        if ANCHOR.search(texts[i], x, y) and fits(k, texts[i][x:y]):
+            out[i].append((k, x, y))
     return out
 
 
@@ -245,7 +257,7 @@ def find(tagger: Tagger, texts: list[str]) -> list[tuple[list[Span], list[Span]]
 
 
 def written(spans: list[Span]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
+    return ",".join(f"{EVERY[k]}:{a}:{b}" for k, a, b in spans)
 
 
 def _anchored(batch: pa.RecordBatch, at: int) -> tuple[list[int], list[str]]:
@@ -258,18 +270,18 @@ def _anchored(batch: pa.RecordBatch, at: int) -> tuple[list[int], list[str]]:
 
 
 def pii(docs: DataFrame, tagger: Tagger, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added): counts of the patterns' spans, their digest,
-    all spans as text, and how many the network added.
+    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans): counts of the patterns' spans, their
+    digest, all spans as text, how many the network added, and how many there are in all.
 
-    Null or empty text: none. Repeated rows: a row each. Positions are code points, ends exclusive. A null key stays
+    Null or empty text: none. A very long text is one row to its task, whose time and memory follow its length. Repeated rows: a row each. Positions are code points, ends exclusive. A null key stays
     null. Other columns are not read."""
-    schema = pa.schema([("key", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64()), ("n_spans", pa.int64())])
     nothing = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            counts = np.zeros((5, n), np.int64)
+            counts = np.zeros((6, n), np.int64)
             digest, spans = [nothing] * n, [""] * n
             rows, texts = _anchored(batch, 1)
             for lo in range(0, len(rows), 64):
@@ -277,12 +289,12 @@ def pii(docs: DataFrame, tagger: Tagger, key: str = "doc_id", text: str = "text"
                 for i, (base, every) in zip(part, find(tagger, texts[lo : lo + 64]), strict=True):
                     for k, _, _ in base:
                         counts[k, i] += 1
-                    counts[4, i] = len(every) - len(base)
+                    counts[4, i], counts[5, i] = len(every) - len(base), len(every)
                     digest[i], spans[i] = hashlib.sha256(written(base).encode()).hexdigest(), written(every)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in counts[:4]), pa.array(digest, pa.string()), pa.array(spans, pa.string()), pa.array(counts[4])], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in counts[:4]), pa.array(digest, pa.string()), pa.array(spans, pa.string()), pa.array(counts[4]), pa.array(counts[5])], schema=schema)
 
     rows = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
-    return rows.mapInArrow(run, "key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, "key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long").withColumnRenamed("key", key)
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -290,13 +302,15 @@ def masked(text: str, spans: list[Span]) -> str:
     out, at = [], 0
     for k, a, b in spans:
         if a >= at:
-            out += [text[at:a], f"[{KINDS[k].upper()}]"]
+            out += [text[at:a], f"[{EVERY[k].upper()}]"]
         at = max(at, b)
     return "".join([*out, text[at:]])
 
 
 def redact(docs: DataFrame, tagger: Tagger, text: str = "text", chars: str = "n_chars") -> DataFrame:
-    """The rows, all columns, with every found span of the text masked; `chars`, if there, is the new length."""
+    """The rows, all columns, with every found span of the text masked; `chars`, if there, is the new length.
+
+    Null and empty texts stay as they are, and so do repeated rows."""
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -104,6 +106,35 @@ def test_tagger_learns(tagger):
     assert (got == gold)[gold > 0].mean() > 0.9
 
 
+def test_added_spans_of_unseen_spellings(tagger):
+    """Span F1 on made lines in spellings that training never saw: stated in the README."""
+    pairs = pii._made(np.random.default_rng(6), 300, held=True)
+    got = pii.added_spans(tagger, [t for t, _ in pairs], [[] for _ in pairs])
+    hits = sum(len(set(g) & set(s)) for g, (_, s) in zip(got, pairs, strict=True))
+    assert 2 * hits / (sum(map(len, got)) + sum(len(s) for _, s in pairs)) > 0.75
+    key = 'and then token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" of it'
+    assert pii.find(tagger, [key])[0] == ([], [(4, key.index("24be"), key.index('" of'))])
+    assert pii.find(tagger, ["the number 2123465659789240 is no card"])[0][1] == []
+
+
+def test_decoding_equals_brute_force():
+    t = Tagger(["a", "b"], hidden=3, width=3)
+    t.init(np.random.default_rng(2))
+    ids = np.random.default_rng(3).integers(0, 98, (6, 5))
+    e, step = t.emissions(ids), t.w["t"] + t.forbidden
+    for row, got in zip(e, t.decode(ids), strict=True):
+        score = lambda y: t.start[y[0]] + row[range(5), list(y)].sum() + sum(step[a, b] for a, b in zip(y, y[1:], strict=False))  # noqa: E731, B023
+        assert tuple(got) == max(itertools.product(range(t.tags), repeat=5), key=score)
+
+
+def test_long_dense_text_takes_linear_time(tagger):
+    began = time.time()
+    pii.find(tagger, ["call 555 0101 now or 12.4.2 " * 4000])
+    one = time.time() - began
+    pii.find(tagger, ["call 555 0101 now or 12.4.2 " * 16000])
+    assert time.time() - began - one < 10 * one + 1
+
+
 def test_windows_join(tagger):
     """A text of many windows gets what its parts get, and one without an anchor nothing."""
     line = "talk to me at (212) 555-1234 or write. "
