@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 
-from dissona.llm.shared import utf8
+from dissona.llm.shared import tidy, utf8
 from dissona.llm.token_shards import open_fs
 
 RATE = 8000
@@ -166,7 +166,7 @@ def audio_features(media: DataFrame, key: str = "doc_id", wav: str = "wav") -> D
                 yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(f.spans[:, 0]), pa.array(f.spans[:, 1]), pa.ListArray.from_arrays(offsets, values), pa.array([f.segments.tolist()] * n, schema.field("segments").type)], schema=schema)
 
     rows = media.select(media[key].cast("long").alias("key"), media[wav].alias("wav"))
-    return rows.mapInArrow(run, "key long, chunk int, start_ms long, end_ms long, tensor array<float>, segments array<array<bigint>>").withColumnRenamed("key", key)
+    return rows.mapInArrow(tidy(run), "key long, chunk int, start_ms long, end_ms long, tensor array<float>, segments array<array<bigint>>").withColumnRenamed("key", key)
 
 
 def write_tensors(media: DataFrame, folder: str, key: str = "doc_id", wav: str = "wav") -> DataFrame:
@@ -193,7 +193,7 @@ def write_tensors(media: DataFrame, folder: str, key: str = "doc_id", wav: str =
             out.close()
             yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "n_tensors": n}], schema=pa.schema([("path", pa.string()), ("n_tensors", pa.int64())]))
 
-    return audio_features(media, key, wav).mapInArrow(run, "path string, n_tensors long")
+    return audio_features(media, key, wav).mapInArrow(tidy(run), "path string, n_tensors long")
 
 
 def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,7 +210,7 @@ def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(offsets[lo : hi + 1])), pa.array(media, pa.binary())], schema=schema)
 
     rows = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
-    return rows.mapInArrow(run, "key long, n_bytes long, wav binary").withColumnRenamed("key", key)
+    return rows.mapInArrow(tidy(run), "key long, n_bytes long, wav binary").withColumnRenamed("key", key)
 
 
 def media_digests(media: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -228,4 +228,4 @@ def media_digests(media: DataFrame, key: str = "doc_id") -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, f[1]) for c, f in zip(columns, fields[2:], strict=True))], schema=pa.schema(fields))
 
-    return media.select(key, "n_bytes", "wav").mapInArrow(run, "key long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("key", key)
+    return media.select(key, "n_bytes", "wav").mapInArrow(tidy(run), "key long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("key", key)

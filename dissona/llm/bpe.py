@@ -17,6 +17,7 @@ import tiktoken
 from tokenizers.normalizers import NFC
 
 from dissona.llm.pretoken import SPACE, HashIndex, code_points, distinct_missing, lower_case, mix, span_hashes, token_starts
+from dissona.llm.shared import KEPT
 
 NONE = np.int64(1 << 40)
 LONG = 512  # units of a word from which on it is merged at once: a step of the longest match costs more than a merge there
@@ -350,7 +351,7 @@ class Pieces:
     speculate True: new ones are encoded by `Vocabulary.encode`; False: by tiktoken, where the file's ids are in the
     order of its merges, so that both give the same pieces."""
 
-    def __init__(self, path: str, speculate: bool = True, most: int = 1_500_000):
+    def __init__(self, path: str, speculate: bool = True, most: int = 600_000):
         self.words, self.most = Vocabulary(path), most
         self.other = None if speculate else self.words.as_tiktoken()
         self.clip = bool(self.words.suffix)
@@ -480,7 +481,7 @@ class Pieces:
         return " ".join([shown[i] for i in entry])
 
 
-_PIECES: dict[tuple, Pieces] = {}
+_PIECES: dict[tuple, Pieces] = KEPT.setdefault("pieces", {})
 
 
 def pieces(path: str, speculate: bool = True) -> Pieces:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from dissona.llm.bpe import pieces
-from dissona.llm.shared import slices, utf8
+from dissona.llm.shared import slices, tidy, utf8
 
 
 def _map(tokenizer: str, make: Callable, fields: list[tuple[str, pa.DataType]]) -> Callable:
@@ -42,7 +42,7 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     Null or empty text: no ids, an empty decoded text. Repeated rows: a row each. Other columns are not read."""
     run = _map(tokenizer, lambda ids, shown: (ids, shown()), [("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
     rows = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
-    return rows.mapInArrow(run, "key long, ids array<int>, decoded string").withColumnRenamed("key", key)
+    return rows.mapInArrow(tidy(run, "pieces"), "key long, ids array<int>, decoded string").withColumnRenamed("key", key)
 
 
 def encode_digests(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -53,4 +53,4 @@ def encode_digests(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
 
     run = _map(tokenizer, make, [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
     rows = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
-    return rows.mapInArrow(run, "key long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+    return rows.mapInArrow(tidy(run, "pieces"), "key long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)

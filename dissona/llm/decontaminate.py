@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dissona.llm.shared import slices, utf8
+from dissona.llm.shared import slices, tidy, utf8
 from dissona.llm.words import ALNUM, runs, split_words
 
 LEAST, COVERAGE = 5, 0.5
@@ -212,7 +212,7 @@ and maximal matches, not the product of repeats. Only the named columns are read
                         items = [sent.value.ids[x] for x in i]
                         yield pa.RecordBatch.from_arrays([keys, pa.array(items, pa.int64()), pa.array(c), pa.array(n), pa.array(m), pa.array([True] * len(r))], schema=schema)
 
-        return rows.mapInArrow(run, "key long, item long, coverage double, n_tiles long, longest_tile long, contaminated boolean").toDF(key, item, "coverage", "n_tiles", "longest_tile", "contaminated")
+        return rows.mapInArrow(tidy(run), "key long, item long, coverage double, n_tiles long, longest_tile long, contaminated boolean").toDF(key, item, "coverage", "n_tiles", "longest_tile", "contaminated")
 
     parts = [search(spark.sparkContext.broadcast(b)) for b in known]
     return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], ddl)
@@ -235,5 +235,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                     keep[[lo + f[0] for f in contaminations(sent.value, part, edges, coverage)]] = False
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(tidy(run), docs.schema)
     return out

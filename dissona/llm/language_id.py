@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dissona.llm.shared import utf8
+from dissona.llm.shared import tidy, utf8
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 16, 256
 SAMPLE = 1600  # labelled texts that are learnt from
@@ -181,7 +181,7 @@ def language_id(docs: DataFrame, net: Network | None, key: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score)], schema=schema)
 
     rows = docs.select(docs[key].cast("long").alias("key"), held_out(docs[key]).alias("h"), docs[text].alias("text"), F.coalesce(docs[text].rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return rows.mapInArrow(run, "key long, held_out boolean, lang_pred string, score double").withColumnRenamed("key", key)
+    return rows.mapInArrow(tidy(run), "key long, held_out boolean, lang_pred string, score double").withColumnRenamed("key", key)
 
 
 def known_language(docs: DataFrame, net: Network | None, sure: float = SURE, text: str = "text") -> DataFrame:
@@ -204,4 +204,4 @@ def known_language(docs: DataFrame, net: Network | None, sure: float = SURE, tex
             yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep, pa.bool_()))
 
     flagged = docs.select("*", F.coalesce(docs[text].rlike(r"\p{L}"), F.lit(False)).alias(letters))
-    return flagged.mapInArrow(run, docs.schema)
+    return flagged.mapInArrow(tidy(run), docs.schema)

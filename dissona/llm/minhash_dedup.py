@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dissona.llm.pretoken import mix
-from dissona.llm.shared import discard, slices, stored, utf8
+from dissona.llm.shared import discard, slices, stored, tidy, utf8
 from dissona.llm.words import shingle_sets, split_words
 from dissona.operators.components import components
 
@@ -121,7 +121,7 @@ def sketch_sets(docs: DataFrame, n: int, first: int, seed: int) -> DataFrame:
                 low, high = (_binary(x.astype(np.uint8)) for x in (sig & 255, sig >> 8))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(sums[0]), pa.array(sums[1]), low, high, flat], schema=schema)
 
-    return docs.mapInArrow(run, "id long, n long, hi long, lo long, low binary, high binary, keys array<long>")
+    return docs.mapInArrow(tidy(run), "id long, n long, hi long, lo long, low binary, high binary, keys array<long>")
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -249,7 +249,7 @@ def _with_partner(rows: DataFrame, threshold: int) -> DataFrame:
             yield whole.append_column("root", whole.column(1).take(pa.array(root))).filter(pa.array(keep))
 
     kind = "place long, id long, hi long, n long, low binary, c long, left boolean, root long"
-    return rows.repartition("place").sortWithinPartitions("place").mapInArrow(run, kind)
+    return rows.repartition("place").sortWithinPartitions("place").mapInArrow(tidy(run), kind)
 
 
 def _tied(rows: DataFrame, threshold: int) -> DataFrame:
@@ -273,7 +273,7 @@ def _tied(rows: DataFrame, threshold: int) -> DataFrame:
                         b.append(int(ids[lo + y]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
-    return rows.repartition("place").sortWithinPartitions("place").mapInArrow(run, "a long, b long")
+    return rows.repartition("place").sortWithinPartitions("place").mapInArrow(tidy(run), "a long, b long")
 
 
 def _full_sets(texts: DataFrame, n: int, seed: int) -> DataFrame:
@@ -292,7 +292,7 @@ def _full_sets(texts: DataFrame, n: int, seed: int) -> DataFrame:
                 sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(value.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(full)), pa.array(digests(value, at)[0]), sets], schema=schema)
 
-    return texts.mapInArrow(run, "id long, hi long, set array<long>").dropDuplicates(["id", "hi"])
+    return texts.mapInArrow(tidy(run), "id long, hi long, set array<long>").dropDuplicates(["id", "hi"])
 
 
 class _Search:

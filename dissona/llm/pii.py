@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dissona.llm.shared import utf8
+from dissona.llm.shared import tidy, utf8
 from dissona.llm.tagger import Tagger, char_ids
 
 KINDS = ["email", "ip", "card", "phone"]  # those with patterns
@@ -294,7 +294,7 @@ def pii(docs: DataFrame, tagger: Tagger, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in counts[:4]), pa.array(digest, pa.string()), pa.array(spans, pa.string()), pa.array(counts[4]), pa.array(counts[5])], schema=schema)
 
     rows = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
-    return rows.mapInArrow(run, "key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long").withColumnRenamed("key", key)
+    return rows.mapInArrow(tidy(run), "key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long").withColumnRenamed("key", key)
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -329,5 +329,5 @@ def redact(docs: DataFrame, tagger: Tagger, text: str = "text", chars: str = "n_
                 batch = batch.set_column(at, batch.schema.field(at), column)
             yield batch
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidy(run), docs.schema)
     return out.withColumn(chars, F.length(text).cast(docs.schema[chars].dataType)) if chars in docs.columns else out

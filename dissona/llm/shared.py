@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,30 @@ import pyarrow.compute as pc
 
 from dissona.sources.scratch import discard, scratch, shared_dir, stored, table
 
-__all__ = ["cuts", "discard", "scratch", "shared_dir", "slices", "stored", "table", "utf8"]
+__all__ = ["KEPT", "cuts", "discard", "scratch", "shared_dir", "slices", "stored", "table", "tidy", "utf8"]
+
+
+#: Tables that a worker keeps from task to task, by their users' name.
+KEPT: dict[str, dict] = {}
+
+
+def tidy(run: Callable, uses: str = "") -> Callable:
+    """A mapInArrow function for workers that live on: tables that other operators have kept go when its task begins
+    (not those of `uses`), and memory that is free when it ends goes back to the system."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, kept in KEPT.items():
+            if name != uses:
+                kept.clear()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
 
 #: Bytes of text that the vectorised kernels hold at a time; a longer single text is held alone.
 SLICE_BYTES = 1 << 20

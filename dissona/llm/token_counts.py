@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from dissona.llm.bpe import pieces
-from dissona.llm.shared import slices, utf8
+from dissona.llm.shared import slices, tidy, utf8
 
 
 def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", limit: int = 512) -> DataFrame:
@@ -36,5 +36,5 @@ def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(total), pa.array(total > limit)], schema=schema)
 
     rows = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
-    out = rows.mapInArrow(run, "key long, n_bytes long, n_tokens long, over_limit boolean")
+    out = rows.mapInArrow(tidy(run, "pieces"), "key long, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("key", key)

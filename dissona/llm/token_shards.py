@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from dissona.llm.bpe import pieces
 from dissona.llm.pretoken import mix
-from dissona.llm.shared import scratch, slices, utf8
+from dissona.llm.shared import scratch, slices, tidy, utf8
 
 MAGIC = b"DSSHARD1"
 NULL_KEY = np.int64(-(1 << 63))
@@ -174,7 +174,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_i
 
     rows = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
     rows = rows.repartitionByRange(F.col("key")).sortWithinPartitions("key", "text")
-    listed = rows.mapInArrow(run, "path string, first long, last long, n_rows long, n_ids long").collect()
+    listed = rows.mapInArrow(tidy(run, "pieces"), "path string, first long, last long, n_rows long, n_ids long").collect()
     listed.sort(key=lambda r: (r["first"], r["last"]))
     start, out = 0, []
     for r in listed:
@@ -206,7 +206,7 @@ def read_digests(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([keys, pa.array(start + shard.rows[row]), pa.array(size), pa.array(sums, pa.int64())], schema=schema)
 
     n = max(1, manifest.count())
-    out = manifest.select("path", "start").repartition(n).mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
+    out = manifest.select("path", "start").repartition(n).mapInArrow(tidy(run, "pieces"), "key long, start long, n_tokens long, ids_crc32 long")
     return out.withColumnRenamed("key", key)
 
 
