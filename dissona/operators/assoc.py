@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dissona.sources.scratch import stored
+
 MIN_SUPPORT, MIN_CONFIDENCE, MAX_CARDINALITY, MIN_ITEMS, MIN_BASKETS, MAX_RELATED = 0.05, 0.85, 0.5, 2, 20, 32
 
 
 def baskets(df: DataFrame, tid: Column, item: Column) -> DataFrame:
-    """Distinct (tid, item); nulls of either are no items."""
-    return df.select(tid.alias("tid"), item.alias("item")).where("tid IS NOT NULL AND item IS NOT NULL").distinct()
+    """Distinct (tid, item), written once for all that is mined from them; nulls of either are no items."""
+    return stored(df.select(tid.alias("tid"), item.alias("item")).where("tid IS NOT NULL AND item IS NOT NULL").distinct(), "baskets")
 
 
 def without(b: DataFrame, stop: DataFrame) -> DataFrame:
@@ -54,10 +56,11 @@ def violations(b: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def supporters(b: DataFrame, found: DataFrame, most: int = MAX_RELATED) -> DataFrame:
-    """(lhs, rhs, related array of the first `most` supporting baskets, related_capped). Ranks are taken over buckets of
-    a hash first, so a frequent rule is not sorted in one task."""
+    """(lhs, rhs, related array of the first `most` supporting baskets, related_capped).
+
+    The ranks are limited in each task before the shuffle, so no more than `most` rows of a rule leave a task."""
     have = b.join(found.select("lhs", "rhs"), b["item"] == F.col("lhs")).select("tid", "lhs", "rhs")
     both = have.join(b.select("tid", F.col("item").alias("rhs")), ["tid", "rhs"], "left_semi")
-    part = both.groupBy("lhs", "rhs", F.pmod(F.xxhash64("tid"), F.lit(64)).alias("k")).agg(F.count("*").alias("m"), F.slice(F.sort_array(F.collect_list("tid")), 1, most).alias("t"))
-    out = part.groupBy("lhs", "rhs").agg(F.sum("m").alias("m"), F.slice(F.sort_array(F.flatten(F.collect_list("t"))), 1, most).alias("related"))
+    first = both.withColumn("rn", F.row_number().over(Window.partitionBy("lhs", "rhs").orderBy("tid"))).where(F.col("rn") <= most)
+    out = first.groupBy("lhs", "rhs").agg(F.sort_array(F.collect_list("tid")).alias("related")).join(both.groupBy("lhs", "rhs").agg(F.count("*").alias("m")), ["lhs", "rhs"])
     return out.select("lhs", "rhs", "related", (F.col("m") > most).alias("related_capped"))

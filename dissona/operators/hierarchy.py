@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from dissona.sources.scratch import stored
 
-MAX_DEPTH = 64
-
 
 def ancestors(parents: DataFrame, local: DataFrame | None = None) -> DataFrame:
     """(name, ancestor, depth) of every class, itself included at depth 0.
@@ -21,7 +19,9 @@ def ancestors(parents: DataFrame, local: DataFrame | None = None) -> DataFrame:
     names = parents.select("name").unionAll(parents.where("parent IS NOT NULL").select(F.col("parent").alias("name"))).distinct()
     found = names.select("name", F.col("name").alias("ancestor"), F.lit(0).alias("depth"))
     new = found
-    for depth in range(1, MAX_DEPTH):
+    depth = 0
+    while True:  # ends when a round finds no new pair, on cycles too
+        depth += 1
         up = new.join(parents.select(F.col("name").alias("ancestor"), "parent"), "ancestor").where("parent IS NOT NULL").select("name", F.col("parent").alias("ancestor")).distinct()
         new = stored(up.join(found, ["name", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "ancestors")
         if new.isEmpty():

@@ -47,11 +47,20 @@ def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[str], n
     return cut.join(before, [*keys, "__k"]).withColumn(name, F.col("__b") + inside).drop("__k", "__b")
 
 
-def last_known(df: DataFrame, key: str, order: list[str], value: Column, name: str) -> DataFrame:
-    """df with the last value that is not null up to each row of its key."""
+def last_known(df: DataFrame, key: str, order: list[str], value: Column, name: str, bucket: Column) -> DataFrame:
+    """df with the last value that is not null up to each row of its key.
+
+    bucket grows with the order: a key's rows are ordered inside its buckets, and the last value of the buckets before
+    is carried over a table of one row a bucket."""
     from pyspark.sql import Window as W
 
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    cut = df.withColumn("__v", value).withColumn("__k", bucket)
+    ends = cut.where("__v IS NOT NULL").groupBy(key, "__k").agg(F.max_by("__v", F.struct(*order)).alias("__e"))
+    every = cut.select(key, "__k").distinct().join(ends, [key, "__k"], "left")
+    carried = every.withColumn("__c", F.last("__e", ignorenulls=True).over(W.partitionBy(key).orderBy("__k").rowsBetween(W.unboundedPreceding, -1))).select(F.col(key).alias("__key"), F.col("__k").alias("__b"), "__c")
+    inside = F.last("__v", ignorenulls=True).over(W.partitionBy(key, "__k").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    met = cut.withColumn("__i", inside).join(carried, F.col(key).eqNullSafe(F.col("__key")) & F.col("__k").eqNullSafe(F.col("__b")), "left")
+    return met.withColumn(name, F.coalesce("__i", "__c")).drop("__v", "__k", "__i", "__key", "__b", "__c")
 
 
 def debounced(df: DataFrame, key: str, ts: str, gap: str, value: str, order: list[str]) -> DataFrame:

@@ -101,7 +101,7 @@ def clone_pairs(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {SHINGLED} SELECT id, component FROM grp")
 def clone_groups(spark, sf_dir):
-    return setsim.groups(setsim.pairs(doc_members(spark, sf_dir)[1]))
+    return setsim.groups(setsim.linked(doc_members(spark, sf_dir)[1]))
 
 
 @query(f"""WITH RECURSIVE {SHINGLED}, m AS (SELECT component, g.id, md5(text) AS form, n_tokens FROM grp g JOIN members USING (id)),
@@ -113,7 +113,7 @@ SELECT group_id, drifted, exemplar, group_size, majority, round(j, 6) AS j FROM
 WHERE j >= 0.7 AND (majority >= 3 OR abs(la - lb) / greatest(la, lb) <= 0.15)""")
 def clone_drift(spark, sf_dir):
     docs, members = doc_members(spark, sf_dir)
-    return setsim.drift(members, setsim.groups(setsim.pairs(members)), docs.select(F.col("doc_id").alias("id"), F.md5("text").alias("form")))
+    return setsim.drift(members, setsim.groups(setsim.linked(members)), docs.select(F.col("doc_id").alias("id"), F.md5("text").alias("form")))
 
 
 NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(text, '//[^\n]*', '', 'g'), '(?s)/\*.*?\*/', '', 'g'), '[\t-\r ]+', ' ', 'g'))"
@@ -456,7 +456,7 @@ def lsp_debounce(spark, sf_dir):
 @query("SELECT event_id, user_id, last_value(CASE WHEN event_type <> 'error' THEN props END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_clean FROM events")
 def lsp_last_clean(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return ordered.last_known(e, "user_id", ["ts", "event_id"], F.when(F.col("event_type") != "error", F.col("props")), "last_clean").select("event_id", "user_id", "last_clean")
+    return ordered.last_known(e, "user_id", ["ts", "event_id"], F.when(F.col("event_type") != "error", F.col("props")), "last_clean", F.to_date("ts")).select("event_id", "user_id", "last_clean")
 
 
 @query("SELECT user_id, max(event_id) AS generation, arg_max(event_type, event_id) AS published FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'signup'")

@@ -17,8 +17,9 @@ from dissona.sources.code import relation, units
 from dissona.sources.scratch import stored
 
 COLUMNS = ["detector_id", "file", "line", "end_line", "message", "severity", "anomaly_class", "related", "evidence"]
-STOP = {"python": ["print", "len", "range", "str", "int", "isinstance", "super", "list", "dict", "set", "append", "format", "join", "get", "items", "split", "strip"]}
-RAISES = ["raises", ":raise", "throws"]
+#: Calls that go with everything and so say nothing: exception classes, introspection, iteration, output.
+STOP = {"python": "isinstance range callable enumerate len StopIteration Exception map zip super iter filter OSError NotImplementedError FileNotFoundError RuntimeError TypeError AttributeError ValueError ImportError IndexError KeyError repr delattr hasattr getattr setattr issubclass print next".split()}
+RAISES = ["raises", "may raise", "throws"]
 
 
 def finding(detector: str, file: Column, line: Column, end: Column, message: Column, severity: str, kind: str, related: Column | None = None, evidence: Column | None = None) -> list[Column]:
@@ -41,9 +42,10 @@ def arg_swap(parsed: DataFrame) -> DataFrame:
 
 def clone_drift(parsed: DataFrame) -> DataFrame:
     fns = relation(parsed, "fns").where("NOT is_method").withColumn("key", F.xxhash64("path", "fn_id"))
-    fns = stored(fns.select("key", "path", "language", "name", "tokens", "start_line", "end_line"), "fns")
-    members = setsim.prepare(fns, "key", F.col("tokens"), F.concat_ws(":", "language", strings.scope_key(F.col("path"), F.lit(""))))
-    found = setsim.drift(members, setsim.groups(setsim.pairs(members)), fns.select(F.col("key").alias("id"), F.md5(F.concat_ws(" ", "tokens")).alias("form")))
+    heads = parsed.select("path", "head")
+    fns = stored(fns.join(heads, "path").select("key", "path", "language", "name", "tokens", "start_line", "end_line", "head"), "fns")
+    members = setsim.prepare(fns, "key", F.col("tokens"), F.concat_ws(":", "language", strings.scope_key(F.col("path"), F.col("head"))))
+    found = setsim.drift(members, setsim.groups(setsim.linked(members)), fns.select(F.col("key").alias("id"), F.md5(F.concat_ws(" ", "tokens")).alias("form")))
     model = fns.select(F.col("key").alias("exemplar"), F.array(place()).alias("rel"), F.col("name").alias("other"))
     got = found.join(fns, F.col("drifted") == F.col("key")).join(model, "exemplar")
     text = F.format_string("%s has drifted from %s and its copies", "name", "other")
@@ -81,9 +83,18 @@ def builtin_parents(spark: SparkSession) -> DataFrame:
 
 
 def unreachable_except(parsed: DataFrame) -> DataFrame:
-    h = relation(parsed, "handlers").withColumn("key", F.concat_ws("#", "path", "try_id"))
-    local = relation(parsed, "classes").where("parent IS NOT NULL").select("name", "parent").distinct()
-    closure = hierarchy.ancestors(builtin_parents(parsed.sparkSession), local)
+    """A class of a file counts in that file alone: its name is qualified by the path wherever the file means it."""
+    c = relation(parsed, "classes").where("parent IS NOT NULL").select("path", "name", "parent").distinct()
+    own = c.select(F.col("path").alias("own_path"), F.col("name").alias("own")).distinct()
+
+    def inside(df: DataFrame, name: str) -> DataFrame:
+        met = df.alias("d").join(own.alias("o"), (F.col("d.path") == F.col("o.own_path")) & (F.col(f"d.{name}") == F.col("o.own")), "left")
+        qualified = F.when(F.col("o.own").isNotNull(), F.concat_ws("#", "d.path", f"d.{name}")).otherwise(F.col(f"d.{name}")).alias(name)
+        return met.select(*[qualified if x == name else F.col(f"d.{x}") for x in df.columns])
+
+    h = inside(relation(parsed, "handlers").withColumn("key", F.concat_ws("#", "path", "try_id")), "type")
+    local = inside(inside(c, "parent"), "name").select("name", "parent")
+    closure = hierarchy.ancestors(builtin_parents(parsed.sparkSession).unionByName(local))
     got = hierarchy.shadowed(h.select(F.col("key").alias("try_id"), "ord", "type"), closure, ("BaseException",))
     lines = h.groupBy(F.col("key").alias("try_id"), "ord").agg(F.first("path").alias("path"), F.min("line").alias("line"))
     return got.join(lines, ["try_id", "ord"]).select(*finding("python-unreachable-except", F.col("path"), F.col("line"), F.col("line"), F.lit("an earlier handler covers this one"), "warning", "Logic"))

@@ -27,7 +27,7 @@ CLASS = "struct<name:string,parent:string>"
 BRANCH = f"struct<fn_id:int,yes:array<string>,no:array<string>,n_tokens:int,{SPAN}>"
 ALLOW = "struct<ids:array<string>,start_line:int,end_line:int>"
 CFG = "struct<item_line:int,predicates:array<string>>"
-UNIT = f"path string, language string, loc int, parse_recovered boolean, fns array<{FN}>, calls array<{CALL}>, stmts array<{STMT}>, handlers array<{HANDLER}>, classes array<{CLASS}>, branches array<{BRANCH}>, allows array<{ALLOW}>, cfgs array<{CFG}>, build_tag string, build_line int"
+UNIT = f"path string, language string, head string, loc int, parse_recovered boolean, fns array<{FN}>, calls array<{CALL}>, stmts array<{STMT}>, handlers array<{HANDLER}>, classes array<{CLASS}>, branches array<{BRANCH}>, allows array<{ALLOW}>, cfgs array<{CFG}>, build_tag string, build_line int"
 FIELDS = ["fns", "calls", "stmts", "handlers", "classes", "branches", "allows", "cfgs"]
 EXITS = {"sys.exit", "os._exit", "exit", "quit"}
 
@@ -226,7 +226,7 @@ def units(files: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for path, language, source in b.itertuples(index=False):
-                row = {k: [] for k in FIELDS} | {"loc": 0, "build_tag": None, "build_line": None}
+                row = {k: [] for k in FIELDS} | {"head": (source or "")[:512], "loc": 0, "build_tag": None, "build_line": None}
                 bad = source is None or language not in PARSERS
                 if not bad:
                     row["loc"] = source.count("\n") + 1
@@ -235,7 +235,7 @@ def units(files: DataFrame) -> DataFrame:
                     except (SyntaxError, ValueError, RecursionError, tokenize.TokenError):
                         bad = True
                 rows.append({"path": path, "language": language, "parse_recovered": bad} | row)
-            yield pd.DataFrame(rows, columns=["path", "language", "loc", "parse_recovered", *FIELDS, "build_tag", "build_line"]).astype({"build_line": "Int32"})
+            yield pd.DataFrame(rows, columns=["path", "language", "head", "loc", "parse_recovered", *FIELDS, "build_tag", "build_line"]).astype({"build_line": "Int32"})
 
     return files.select("path", "language", "source").mapInPandas(run, UNIT)
 

@@ -25,6 +25,8 @@ FILES = {
     "bad.py": "def (\n",
     "other.ts": "const x = 1;\n",
 }
+FILES["elsewhere.py"] = "try:\n    f()\nexcept KeyError:\n    pass\nexcept Own:\n    pass\n"  # Own is a class of another file
+FILES["lock_classes.py"] = "class OSError(KeyError):\n    pass\n"
 FILES |= {f"lock{i}.py": f"def f{i}():\n    acquire_it(x)\n    work{i}()\n" + ("    release_it(x)\n" if i else "") for i in range(24)}
 FILES |= {f"free{i}.py": f"def f{i}():\n    a{i}(y)\n    b{i}(y)\n" for i in range(30)}
 

@@ -31,10 +31,12 @@ def test_latest_version_after_the_gap(spark, tmp_path):
         wait(2)
         send("2", ("a.py", "change", 2, "late"), ("b.py", "close", 2, None))
         wait(3)
+        send("3", ("b.py", "change", 3, "after the end"), ("a.py", "change", 4, "w"))
+        wait(4)
     finally:
         q.stop()
     got = [(r["uri"], r["version"], r["text"], r["closed"]) for r in spark.table("settled").collect()]
-    assert sorted(got) == [("a.py", 3, "z", False), ("b.py", 1, "b", False), ("b.py", 2, "", True)]
+    assert sorted(got) == [("a.py", 3, "z", False), ("a.py", 4, "w", False), ("b.py", 1, "b", False), ("b.py", 2, "", True)]
 
 
 def test_last_clean_findings(spark, tmp_path):
