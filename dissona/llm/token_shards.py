@@ -4,14 +4,15 @@ A shard holds a range of keys in ascending order: raw ids (two bytes each where
 then the row table, the keys and the index. Layout, all little-endian:
 
     payload      ids of all rows, back to back
-    index        levels of bit fields; a key that is alone in its bit of a level is placed there, the others try the
+    words, ranks levels of bit fields, and the set bits before each of their words; a key that is alone in its bit of a level is placed there, the others try the
                  next level, so the rank of a key's bit over all levels is a number of 0..n-1 that no other key has
     slots        for each such number: fingerprint u32, first row u32
     rows         start u64 of each row in the payload, and the end
-    keys         i64 of each row (null: the smallest i64), to list a shard; look-ups do not read them
+    keys         i64 of each row (null: the smallest i64), to list a shard; a look-up reads the one that it found
     footer       JSON with the positions, its length u64, magic
 
-A look-up hashes the key, tests at most a few bits, compares the fingerprint and reads the row: constant time.
+A look-up hashes the key, tests at most a few bits, compares the fingerprint and reads the row: constant time, and as
+few bytes (`KeyedShard`).
 Repeated keys stand next to each other; the slot names the first of them."""
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def pack(keys: np.ndarray, ids: np.ndarray, ends: np.ndarray, wide: bool) -> byt
         slots[number, 0] = _hash(distinct, 1000) >> np.uint64(32)
         slots[number, 1] = first
     parts = {
-        "payload": ids.astype("<u4" if wide else "<u2").tobytes(), "words": index.words.astype("<u8").tobytes(), "slots": slots.tobytes(),
+        "payload": ids.astype("<u4" if wide else "<u2").tobytes(), "words": index.words.astype("<u8").tobytes(), "ranks": index.rank[:-1].astype("<u8").tobytes(), "slots": slots.tobytes(),
         "rows": np.concatenate([[0], ends]).astype("<u8").tobytes(), "keys": keys.astype("<i8").tobytes(),
     }
     footer, at = {"sizes": index.sizes, "wide": wide, "n": len(keys)}, 0
@@ -134,6 +135,38 @@ class Shard:
         return self.payload[self.rows[row] : self.rows[row + 1]]
 
 
+class KeyedShard:
+    """Look-ups in an open file of any size: a few ranges are read for a key, whatever the shard holds."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file, size = file, file.size()
+        tail = file.read_at(16, size - 16)
+        if tail[8:] != MAGIC:
+            raise ValueError("not a shard")
+        n = int.from_bytes(tail[:8], "little")
+        self.at = json.loads(file.read_at(n, size - 16 - n))
+
+    def part(self, name: str, kind: str, first: int, number: int) -> np.ndarray:
+        width = np.dtype(kind).itemsize
+        return np.frombuffer(self.file.read_at(number * width, self.at[name][0] + first * width), kind)
+
+    def get(self, key: int) -> np.ndarray | None:
+        """The ids of the first row of a key, or None."""
+        one, first = np.array([key], np.int64), 0
+        for level, size in enumerate(self.at["sizes"]):
+            bit = first + int(_hash(one, level)[0] % np.uint64(size))
+            word = int(self.part("words", "<u8", bit >> 6, 1)[0])
+            if word >> (bit & 63) & 1:
+                number = int(self.part("ranks", "<u8", bit >> 6, 1)[0]) + (word & ((1 << (bit & 63)) - 1)).bit_count()
+                mark, row = self.part("slots", "<u4", 2 * number, 2).tolist()
+                if mark != int(_hash(one, 1000)[0] >> np.uint64(32)) or int(self.part("keys", "<i8", row, 1)[0]) != key:
+                    return None
+                a, b = self.part("rows", "<u8", row, 2).tolist()
+                return self.part("payload", "<u4" if self.at["wide"] else "<u2", a, b - a)
+            first += size
+        return None
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a folder's URI; a plain path is a local (or mounted) one."""
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
@@ -211,14 +244,18 @@ def read_digests(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def lookup(manifest: DataFrame, keys: list[int]) -> dict[int, list[int]]:
-    """The ids of a few keys: the manifest's ranges name the shard, its index the row. Absent keys are left out."""
-    out = {}
-    for k in keys:
-        for r in manifest.where((F.col("first") <= k) & (F.col("last") >= k)).collect():
-            shard = _shard(r["path"])
-            row = int(shard.find(np.array([k], np.int64))[0])
-            if row >= 0 and shard.keys[row] == k:
-                out[k] = shard.ids(row).tolist()
+    """The ids of a few keys: the manifest's ranges (a row a shard, read once) name the shards, their indexes the row.
+
+    Of each shard only the footer and a few ranges a key are read. Absent keys are left out; of a repeated key the first
+    row is given."""
+    out, shards = {}, manifest.select("path", "first", "last").collect()
+    for r in shards:
+        mine = [k for k in keys if r["first"] <= k <= r["last"] and k not in out]
+        if mine:
+            fs, name = open_fs(r["path"])
+            with fs.open_input_file(name) as f:
+                shard = KeyedShard(f)
+                out |= {k: got.tolist() for k in mine if (got := shard.get(k)) is not None}
     return out
 
 
