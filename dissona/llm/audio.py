@@ -150,6 +150,7 @@ def describe(f: Features) -> str:
 def audio_features(media: DataFrame, key: str = "doc_id", wav: str = "wav") -> DataFrame:
     """(key, chunk, start_ms, end_ms, tensor array<float> of FRAMES * MELS values, segments array<array<int>>) per tensor.
 
+    The segments of a recording stand with its first tensor, once.
     Null WAV: no rows. Bytes that are no such WAV raise. Repeated rows: rows each. Other columns are not read."""
     tensor = pa.list_(pa.float32())
     schema = pa.schema([("key", pa.int64()), ("chunk", pa.int32()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("tensor", tensor), ("segments", pa.list_(pa.list_(pa.int64())))])
@@ -163,7 +164,7 @@ def audio_features(media: DataFrame, key: str = "doc_id", wav: str = "wav") -> D
                 n = len(f.tensors)
                 offsets = pa.array(np.arange(n + 1, dtype=np.int32) * FRAMES * MELS)
                 values = tensor_array(f).storage.flatten()
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(f.spans[:, 0]), pa.array(f.spans[:, 1]), pa.ListArray.from_arrays(offsets, values), pa.array([f.segments.tolist()] * n, schema.field("segments").type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(f.spans[:, 0]), pa.array(f.spans[:, 1]), pa.ListArray.from_arrays(offsets, values), pa.array([f.segments.tolist()] + [[]] * (n - 1), schema.field("segments").type)], schema=schema)
 
     rows = media.select(media[key].cast("long").alias("key"), media[wav].alias("wav"))
     return rows.mapInArrow(tidy(run), "key long, chunk int, start_ms long, end_ms long, tensor array<float>, segments array<array<bigint>>").withColumnRenamed("key", key)
