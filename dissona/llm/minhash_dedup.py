@@ -25,6 +25,7 @@ from math import comb, floor, sqrt
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,8 @@ T, DEPTH, LEVELS = 128, 3, 8
 MOST, WEIGHT = 1024, 4_000_000  # sets, and shingles, of a node that is compared exhaustively (or of 16 sets)
 OUT = 256  # sets outside the largest component of a node, up to which they are compared with all of it
 GROUP = 4096  # candidate sets of a group that are verified in one task, of at most WEIGHT shingles
-SENT = 250_000  # ids (8 bytes each) that may be broadcast
+SENT = 250_000  # ids (8 bytes each) that may be broadcast; edges of a graph that is worked on by the driver
+BITS = 1 << 26  # of the filter that finds the texts of more ids, at most
 MET = 1.275  # children in which a pair at the threshold meets, on average
 MISSED = 5e-5
 SIGNATURE_SD = 4.75  # standard deviations below a pair at the threshold: equal values that a pair must have
@@ -276,12 +278,41 @@ def _tied(rows: DataFrame, threshold: int) -> DataFrame:
     return rows.repartition("place").sortWithinPartitions("place").mapInArrow(tidy(run), "a long, b long")
 
 
-def _full_sets(texts: DataFrame, n: int, seed: int) -> DataFrame:
-    """(id, hi, set): the sorted hashes of each text's set, texts: (id, text)."""
+def _slot(ids: np.ndarray, size: int) -> np.ndarray:
+    """The bit of each id in a filter of `size` bits, a power of two."""
+    return (mix(ids.view(np.uint64) ^ SALTS[0]) >> np.uint64(16)).astype(np.int64) & (size - 1)
+
+
+def id_filter(ids: DataFrame, number: int) -> np.ndarray:
+    """A bit array that has the bits of all ids (id), about 16 bits for each but BITS at most: other ids may pass it."""
+    size = min(BITS, 64 << (number // 4).bit_length())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = _slot(batch.column(0).to_numpy(), size)
+            yield pa.RecordBatch.from_arrays([pa.array(slot >> 6), pa.array(np.left_shift(np.int64(1), slot & 63))], names=["at", "bit"])
+
+    words = ids.mapInArrow(tidy(run), "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return out.view(np.uint8)
+
+
+def passing(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    """The rows whose id (first column) passes an id filter."""
+    batch = batch.filter(batch.column(0).is_valid())
+    slot = _slot(batch.column(0).to_numpy(), len(bits) * 8)
+    return batch.filter(pa.array((bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
+
+
+def _full_sets(texts: DataFrame, n: int, seed: int, bits: Broadcast | None = None) -> DataFrame:
+    """(id, hi, set): the sorted hashes of each text's set, texts: (id, text). bits: only of ids that pass this filter."""
     schema = pa.schema([("id", pa.int64()), ("hi", pa.int64()), ("set", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if bits is not None:
+                batch = passing(batch, bits.value)
             data, offsets = utf8(batch.column(1))
             for lo, hi, part, edges in slices(data, offsets):
                 value, begin = _shingles(part, edges, n, seed)
@@ -295,6 +326,21 @@ def _full_sets(texts: DataFrame, n: int, seed: int) -> DataFrame:
     return texts.mapInArrow(tidy(run), "id long, hi long, set array<long>").dropDuplicates(["id", "hi"])
 
 
+def _components(edges: DataFrame) -> DataFrame:
+    """`components`, but on the driver if there are at most SENT edges (a, b): no rounds of small jobs."""
+    spark = edges.sparkSession
+    edges = stored(edges.where("a != b").distinct(), "tied")
+    if edges.count() > SENT:
+        out = components(edges)
+    else:
+        a, b = (x.to_numpy() for x in edges.toArrow().columns)
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = local_roots(len(ids), [(at[: len(a)], at[len(a) :])])
+        out = spark.createDataFrame(pa.table({"id": ids, "component": ids[root]}), "id long, component long")
+    discard(edges)
+    return out
+
+
 class _Search:
     """The links found so far, as labels (id, component), and how further nodes are compared."""
 
@@ -312,7 +358,7 @@ class _Search:
         labels = self.labels
         at = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
         tied = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        new = stored(components(tied.distinct()).select(F.col("id").alias("was"), F.col("component").alias("now")), "merged")
+        new = stored(_components(tied).select(F.col("id").alias("was"), F.col("component").alias("now")), "merged")
         old = labels.join(new, F.col("component") == F.col("was"), "left").select("id", F.coalesce("now", "component").alias("component"))
         fresh = new.join(labels, F.col("was") == F.col("id"), "left_anti").select(F.col("was").alias("id"), F.col("now").alias("component"))
         self.labels = stored(old.unionAll(fresh), "labels")
@@ -328,12 +374,12 @@ class _Search:
         ids = stored(chosen.select("id").distinct(), "ids")
         number = ids.count()
         if number:
-            few = F.broadcast(ids) if number <= SENT else ids  # so few ids reach the tasks whole, and no text is shuffled to find theirs
-            sets = _full_sets(self.texts.join(few, "id", "left_semi").dropDuplicates(["id", "text"]), self.n, self.seed)
+            texts, bits = self.wanted(ids, number)
+            sets = _full_sets(texts, self.n, self.seed, bits)
             kind = ["place", "id", "hi", "n", "low", "c", "left"]
             if gather:
-                edges = chosen.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()
-                group = stored(components(edges).withColumnRenamed("component", "g"), "groups")
+                edges = chosen.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+                group = stored(_components(edges).withColumnRenamed("component", "g"), "groups")
                 members = chosen.dropDuplicates(["id", "hi"]).join(group, "id")
                 small = group.join(members.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("w")), "g").where(((F.col("m") <= GROUP) & (F.col("w") <= WEIGHT)) | (F.col("m") <= 16)).select("id", "g")
                 small = stored(small, "small")
@@ -345,6 +391,23 @@ class _Search:
             made.append(links)
         discard(*made, ids)
 
+    def wanted(self, ids: DataFrame, number: int) -> tuple[DataFrame, Broadcast | None]:
+        """(texts, filter that those of the ids pass): few ids reach the tasks whole, of more a filter does. No text is
+        shuffled to find those of the ids."""
+        if number <= SENT:
+            return self.texts.join(F.broadcast(ids), "id", "left_semi"), None
+        return self.texts, self.texts.sparkSession.sparkContext.broadcast(id_filter(ids, number))
+
+    def narrow(self, rows: DataFrame) -> None:
+        """From now on only the sets of these rows (id, hi), and texts of their ids, are read."""
+        ids = stored(rows.select("id").distinct(), "ids")
+        texts, bits = self.wanted(ids, ids.count())
+        if bits is not None:
+            texts = texts.mapInArrow(tidy(lambda batches: (passing(x, bits.value) for x in batches)), texts.schema)
+        self.texts = stored(texts, "texts")
+        self.reps = stored(self.reps.join(rows.select("id", "hi").distinct(), ["id", "hi"], "left_semi"), "reps")
+        discard(ids)
+
     def follow(self, entries: DataFrame) -> DataFrame:
         """Compare the small nodes of entries (key, id, hi, n); the entries of the others, with the node's m and w."""
         counted = entries.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("w")).where("m > 1")
@@ -408,9 +471,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     search = _Search(texts, reps, n, threshold, seed)
     search.merge(_same_key(some, classes))
     large = search.follow(reps.select(F.explode("keys").alias("key"), "id", "hi", "n"))
+    if not large.isEmpty():  # mostly few sets, of which each level reads again
+        search.narrow(large)
+        discard(reps)
     while not large.isEmpty():
         large = search.branch(large, mean)
-    discard(reps)
+    if search.reps is not reps:
+        discard(search.texts)
+    discard(search.reps)
     named = classes.join(search.labels, classes["rep"] == search.labels["id"], "left").select("n", "hi", "lo", F.coalesce("component", "rep").alias("component"))
     out = every.select("id", "n", "hi", "lo").join(named, ["n", "hi", "lo"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))

@@ -8,6 +8,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,6 +259,34 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
         assert {r["doc_id"]: tuple(r)[1:] for r in minhash_dedup.near_duplicates(df).collect()} == want
 
 
+@pytest.mark.parametrize("sent", [250_000, 0])
+def test_levels_read_only_the_sets_of_large_nodes(spark, monkeypatch, sent):
+    """With `sent` 0 ids are found by a filter and graphs are worked on in rounds."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    crowd = [rng.choice(words) for _ in range(200)]
+    texts = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(100)]
+    texts += [" ".join([*crowd[:k], f"x{i}", *crowd[k + 1 :]]) for i in range(40) for k in [rng.randrange(200)]]
+    seen = []
+    branch = minhash_dedup._Search.branch
+    monkeypatch.setattr(minhash_dedup._Search, "branch", lambda self, *a: seen.append((self.texts.count(), self.reps.count())) or branch(self, *a))
+    monkeypatch.setattr(minhash_dedup, "SENT", sent)
+    monkeypatch.setattr(minhash_dedup, "MOST", 8)
+    monkeypatch.setattr(minhash_dedup, "OUT", 2)
+    got = minhash_dedup.near_duplicates(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == near(dict(enumerate(texts)))
+    assert seen and max(max(x) for x in seen) <= 60
+
+
+def test_id_filter_passes_its_ids(spark):
+    ids = spark.range(-500, 500).withColumn("id", F.col("id") * 7919)
+    bits = minhash_dedup.id_filter(ids, 1000)
+    batch = pa.RecordBatch.from_pydict({"id": [*range(-500 * 7919, 500 * 7919, 7), None]})
+    got = minhash_dedup.passing(batch, bits).column(0).to_pylist()
+    every = {i * 7919 for i in range(-500, 500)}
+    assert None not in got and every & set(batch.column(0).to_pylist()) <= set(got) and len(got) < 0.1 * batch.num_rows
+
+
 def test_near_duplicates_of_another_rule(spark):
     """Pairs just above a lower threshold: the sketch bound and the number of nodes follow it."""
     rng, texts = random.Random(8), {}
