@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dissona.llm.shared import tidy, utf8
+from dissona.llm.shared import slices, tidy, utf8
 from dissona.llm.tagger import Tagger, char_ids
 
 KINDS = ["email", "ip", "card", "phone"]  # those with patterns
@@ -260,13 +260,15 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{EVERY[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def _anchored(batch: pa.RecordBatch, at: int) -> tuple[list[int], list[str]]:
-    """Rows of a batch whose text has an anchor, and those texts."""
+def _anchored(batch: pa.RecordBatch, at: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Rows of a batch whose text has an anchor, and those texts: at most 64 at a time, of one slice."""
     data, offsets = utf8(batch.column(at))
-    mark = ((data >= 48) & (data <= 57)) | (data == 64)
-    count = np.concatenate([[0], np.cumsum(mark)])[offsets]
-    rows = np.flatnonzero(np.diff(count)).tolist()
-    return rows, [data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in rows]
+    for lo, _, part, edges in slices(data, offsets):
+        mark = np.flatnonzero(((part >= 48) & (part <= 57)) | (part == 64))
+        rows = np.flatnonzero(np.diff(np.searchsorted(mark, edges)))
+        for k in range(0, len(rows), 64):
+            some = rows[k : k + 64].tolist()
+            yield [lo + i for i in some], [part[edges[i] : edges[i + 1]].tobytes().decode("utf-8", "replace") for i in some]
 
 
 def pii(docs: DataFrame, tagger: Tagger, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -283,10 +285,8 @@ def pii(docs: DataFrame, tagger: Tagger, key: str = "doc_id", text: str = "text"
             n = batch.num_rows
             counts = np.zeros((6, n), np.int64)
             digest, spans = [nothing] * n, [""] * n
-            rows, texts = _anchored(batch, 1)
-            for lo in range(0, len(rows), 64):
-                part = rows[lo : lo + 64]
-                for i, (base, every) in zip(part, find(tagger, texts[lo : lo + 64]), strict=True):
+            for rows, texts in _anchored(batch, 1):
+                for i, (base, every) in zip(rows, find(tagger, texts), strict=True):
                     for k, _, _ in base:
                         counts[k, i] += 1
                     counts[4, i], counts[5, i] = len(every) - len(base), len(every)
@@ -315,10 +315,9 @@ def redact(docs: DataFrame, tagger: Tagger, text: str = "text", chars: str = "n_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, texts = _anchored(batch, at)
             new: dict[int, str] = {}
-            for lo in range(0, len(rows), 64):
-                for i, t, (_, every) in zip(rows[lo : lo + 64], texts[lo : lo + 64], find(tagger, texts[lo : lo + 64]), strict=True):
+            for rows, texts in _anchored(batch, at):
+                for i, t, (_, every) in zip(rows, texts, find(tagger, texts), strict=True):
                     if every:
                         new[i] = masked(t, every)
             if new:

@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -136,6 +137,20 @@ def test_long_dense_text_takes_linear_time(tagger):
     assert time.time() - began - one < 10 * one + 1
 
 
+def test_anchors_are_found_in_little_memory():
+    """What is held besides a batch follows a slice of it, not the batch."""
+    texts = [("word " * 600 + ("7 " if i % 3 == 0 else "") + "é") for i in range(5000)] + [None, "", "@"]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    tracemalloc.start()
+    try:
+        got = [i for rows, _ in pii._anchored(batch, 0) for i in rows]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == [*range(0, 5000, 3), 5002] and peak < batch.nbytes
+    assert all(t == texts[i] for rows, some in pii._anchored(batch, 0) for i, t in zip(rows, some, strict=True))
+
+
 def test_windows_join(tagger):
     """A text of many windows gets what its parts get, and one without an anchor nothing."""
     line = "talk to me at (212) 555-1234 or write. "
