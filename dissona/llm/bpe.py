@@ -351,7 +351,7 @@ class Pieces:
     speculate True: new ones are encoded by `Vocabulary.encode`; False: by tiktoken, where the file's ids are in the
     order of its merges, so that both give the same pieces."""
 
-    def __init__(self, path: str, speculate: bool = True, most: int = 600_000):
+    def __init__(self, path: str, speculate: bool = True, most: int = 300_000):
         self.words, self.most = Vocabulary(path), most
         self.other = None if speculate else self.words.as_tiktoken()
         self.clip = bool(self.words.suffix)
@@ -470,11 +470,12 @@ class Pieces:
         """The library's decode for vocabularies without a decoder: the pieces joined by blanks."""
         while len(self.shown) < self.index.n:
             lo = len(self.shown)
-            ends = self.end[: self.index.n].tolist()
-            ids = self.ids[: ends[-1]].tolist()
+            base = int(self.end[lo - 1]) if lo else 0
+            ends = (self.end[lo : self.index.n] - base).tolist()  # of the new entries alone
+            ids = self.ids[base : base + ends[-1]].tolist()
             text = self.words.text
-            begin = ends[lo - 1] if lo else 0
-            for e in ends[lo:]:
+            begin = 0
+            for e in ends:
                 self.shown.append(" ".join([text[i] for i in ids[begin:e]]))
                 begin = e
         shown = self.shown

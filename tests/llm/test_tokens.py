@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -118,3 +119,19 @@ def test_queries(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert [QUERIES[q](spark, SF).count() for q in ("op2_token_counts", "op8_bpe_codec", "op10_token_shards")] == [n] * 3
     assert public_tokenizers.path("byte_bpe_50k.json") == BYTE_BPE
+
+
+def test_decoding_new_words_leaves_the_others():
+    """The worker's table is not gone through again for a few new words."""
+    known = Pieces(WORD_BPE)
+    shown = lambda text: known.decoded(known.split(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0].tolist())
+    many = " ".join("q" + "".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(30_000)).encode()
+    first = shown(many)
+    entry, _ = known.split(np.frombuffer(b"zyxwv uqx", np.uint8), np.array([0, 9]))
+    tracemalloc.start()
+    try:
+        few = known.decoded(entry.tolist())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 100_000 and shown(b"zyxwv uqx") == few and shown(many) == first
