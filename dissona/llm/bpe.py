@@ -21,6 +21,7 @@ from dissona.llm.shared import KEPT
 
 NONE = np.int64(1 << 40)
 LONG = 512  # units of a word from which on it is merged at once: a step of the longest match costs more than a merge there
+LEARNT = 8192  # new words that are encoded at a time
 BASES = [int.from_bytes(os.urandom(8), "little") | 1 for _ in range(2)]
 _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -351,7 +352,7 @@ class Pieces:
     speculate True: new ones are encoded by `Vocabulary.encode`; False: by tiktoken, where the file's ids are in the
     order of its merges, so that both give the same pieces."""
 
-    def __init__(self, path: str, speculate: bool = True, most: int = 300_000):
+    def __init__(self, path: str, speculate: bool = True, most: int = 260_000):
         self.words, self.most = Vocabulary(path), most
         self.other = None if speculate else self.words.as_tiktoken()
         self.clip = bool(self.words.suffix)
@@ -418,7 +419,8 @@ class Pieces:
             if self.index.n + len(miss) > self.most and self.index.n > len(self.special_at):
                 self._empty()
                 entry, miss = distinct_missing(self.index, a, b)
-            self._learn(points, begin[miss], finish[miss], a[miss], b[miss])
+            for some in np.split(miss, range(LEARNT, len(miss), LEARNT)):
+                self._learn(points, begin[some], finish[some], a[some], b[some])
             entry = self.index.get(a, b)
         at = np.searchsorted(begin, edges)  # first token of each part
         number = np.diff(at)

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from dissona.llm.bpe import pieces
 from dissona.llm.shared import slices, tidy, utf8
 
+CODED_BYTES = 1 << 19  # of text that is split into words at a time
+
 
 def _map(tokenizer: str, make: Callable, fields: list[tuple[str, pa.DataType]]) -> Callable:
     """A mapInArrow function: make(ids as int32, decoded text or None) for each row gives the columns after the key."""
@@ -24,7 +26,7 @@ def _map(tokenizer: str, make: Callable, fields: list[tuple[str, pa.DataType]])
         known = pieces(tokenizer)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for lo, hi, part, edges in slices(data, offsets):
+            for lo, hi, part, edges in slices(data, offsets, CODED_BYTES):
                 entry, end = known.split(part, edges)
                 ids, stop = known.token_ids(entry)
                 first = np.concatenate([[0], end])

@@ -53,6 +53,7 @@ def lower_case() -> dict[int, str]:
 #: Drawn anew by every process: no text can be written to collide. Hashes that tasks share take a seed from the driver.
 SEED = int.from_bytes(os.urandom(8), "little")
 _FACTORS: dict[tuple[int, int], np.ndarray] = {}
+HASHED = 1 << 16  # values that are hashed at a time: each takes some 40 bytes meanwhile; a longer span is taken whole
 
 
 def factors(n: int, seed: int, which: int) -> np.ndarray:
@@ -76,11 +77,20 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which:
     if not len(starts):
         return [np.zeros(0, np.uint64) for _ in which]
     length = ends - starts
-    first = np.cumsum(length) - length
-    place = np.arange(first[-1] + length[-1]) - np.repeat(first, length)
-    v = values[place + np.repeat(starts, length)].astype(np.uint64) + np.uint64(1)
-    top = int(length.max())
-    return [mix(np.add.reduceat(factors(top, SEED if seed is None else seed, k)[place] * v, first) + length.astype(np.uint64)) for k in which]
+    edge, top = np.cumsum(length), int(length.max())
+    factor = [factors(top, SEED if seed is None else seed, k) for k in which]
+    out = [np.empty(len(starts), np.uint64) for _ in which]
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(edge, (edge[lo - 1] if lo else 0) + HASHED, "right")))
+        size = length[lo:hi]
+        first = np.cumsum(size) - size
+        place = np.arange(first[-1] + size[-1]) - np.repeat(first, size)
+        v = values[place + np.repeat(starts[lo:hi], size)].astype(np.uint64) + np.uint64(1)
+        for h, f in zip(out, factor, strict=True):
+            h[lo:hi] = mix(np.add.reduceat(f[place] * v, first) + size.astype(np.uint64))
+        lo = hi
+    return out
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -176,7 +186,7 @@ class HashIndex:
             bits = self.bits
             while 2 * (self.n + len(a)) > 1 << bits:
                 bits += 1
-            self._empty(bits + 1)
+            self._empty(bits)
             self._place(olda, oldb, oldn)
         self._place(a, b, new)
         self.n += len(a)

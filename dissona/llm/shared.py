@@ -12,27 +12,58 @@ import pyarrow.compute as pc
 
 from dissona.sources.scratch import discard, scratch, shared_dir, stored, table
 
-__all__ = ["KEPT", "cuts", "discard", "scratch", "shared_dir", "slices", "stored", "table", "tidy", "utf8"]
+__all__ = ["KEPT", "cuts", "discard", "portions", "scratch", "shared_dir", "slices", "stored", "table", "tidy", "utf8"]
 
 
 #: Tables that a worker keeps from task to task, by their users' name.
 KEPT: dict[str, dict] = {}
 
 
+#: Bytes of a batch that a kernel is given at a time; a longer single row is given alone.
+PORTION_BYTES = 4 << 20
+
+
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, in order, in parts of at most PORTION_BYTES; nothing is copied."""
+    if batch.num_rows < 2 or batch.nbytes <= PORTION_BYTES:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from portions(batch.slice(0, half))
+    yield from portions(batch.slice(half))
+
+
+def release() -> None:
+    """Give memory that is free back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _fed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = 0
+    for batch in batches:
+        for part in portions(batch):
+            yield part
+            seen += part.nbytes
+            if seen >= PORTION_BYTES // 2:
+                release()
+                seen = 0
+
+
 def tidy(run: Callable, uses: str = "") -> Callable:
     """A mapInArrow function for workers that live on: tables that other operators have kept go when its task begins
-    (not those of `uses`), and memory that is free when it ends goes back to the system."""
+    (not those of `uses`), batches come in portions, so that what is made of them stays small, and memory that is free
+    goes back to the system after each of them and at the end."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, kept in KEPT.items():
             if name != uses:
                 kept.clear()
         try:
-            yield from run(batches)
+            yield from run(_fed(batches))
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
-                ctypes.CDLL(None).malloc_trim(0)
+            release()
 
     return task
 

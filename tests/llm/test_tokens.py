@@ -8,13 +8,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from dissona.llm import bpe_codec, token_counts, token_shards
+from dissona.llm import bpe, bpe_codec, pretoken, token_counts, token_shards
 from dissona.llm.bpe import Pieces, Vocabulary
 from dissona.llm.queries import BYTE_BPE, QUERIES, WORD_BPE
-from dissona.llm.shared import scratch
+from dissona.llm.shared import PORTION_BYTES, scratch, tidy
 
 SF = "/root/testdata/sf0.001"
 BYTE, WORD = Tokenizer.from_file(BYTE_BPE), Tokenizer.from_file(WORD_BPE)
@@ -135,3 +136,47 @@ def test_decoding_new_words_leaves_the_others():
     finally:
         tracemalloc.stop()
     assert peak < 100_000 and shown(b"zyxwv uqx") == few and shown(many) == first
+
+
+def test_kernels_get_small_portions():
+    """A batch of any size reaches a kernel in parts: all rows, in order, none cut."""
+    texts = [None, "", "x" * (PORTION_BYTES + 5), *("ab" * (37 * i) for i in range(1000))]
+    batch = pa.record_batch({"id": range(len(texts)), "text": texts, "some": [[i, None] for i in range(len(texts))]})
+    got = [*tidy(lambda batches: batches)(iter([batch, batch.slice(0, 0), batch.slice(7, 100)]))]
+    assert all(x.num_rows <= 1 or x.nbytes <= PORTION_BYTES for x in got) and len(got) > 8
+    assert pa.Table.from_batches(got).to_pylist() == batch.to_pylist() + batch.slice(7, 100).to_pylist()
+
+
+def test_spans_are_hashed_in_little_memory(monkeypatch):
+    values = np.random.default_rng(5).integers(0, 256, 1 << 21).astype(np.uint8)
+    ends = np.unique(np.append(np.random.default_rng(6).integers(1, len(values), 200_000), len(values)))
+    starts = np.concatenate([[0], ends[:-1]])
+    pretoken.span_hashes(values[:10], starts[:1], starts[:1] + 5)  # its factors are made once
+    tracemalloc.start()
+    try:
+        got = pretoken.span_hashes(values, starts, ends)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    monkeypatch.setattr(pretoken, "HASHED", 1 << 40)
+    assert peak < 8 * len(values) and all((a == b).all() for a, b in zip(got, pretoken.span_hashes(values, starts, ends), strict=True))
+
+
+def test_index_has_few_free_places():
+    index, rng = pretoken.HashIndex(4), np.random.default_rng(7)
+    a, b = rng.integers(0, 1 << 63, (2, 70_000)).astype(np.uint64)
+    a[::3] = a[0]  # that meet
+    numbers = [index.put(a[i : i + 7000], b[i : i + 7000]) for i in range(0, len(a), 7000)]
+    assert np.concatenate(numbers).tolist() == index.get(a, b).tolist() == [*range(len(a))]
+    assert (index.get(b, a) < 0).all() and 1 << index.bits < 4 * len(a)
+
+
+def test_new_words_are_learnt_in_blocks(monkeypatch):
+    sizes, learn = [], Pieces._learn
+    monkeypatch.setattr(bpe, "LEARNT", 50)
+    monkeypatch.setattr(Pieces, "_learn", lambda self, points, begin, *rest: (sizes.append(len(begin)), learn(self, points, begin, *rest)))
+    text = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}wörd" for i in range(333))
+    for path, lib, speculate in ((WORD_BPE, WORD, True), (BYTE_BPE, BYTE, False)):
+        known, raw = Pieces(path, speculate), np.frombuffer(text.encode(), np.uint8)
+        assert known.token_ids(known.split(raw, np.array([0, len(raw)]))[0])[0].tolist() == ids(lib, text)
+    assert max(sizes) == 50 and sum(sizes) >= 666
