@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dissona.operators import setjoin
 from dissona.operators.components import components
 from dissona.sources.scratch import stored
 
@@ -36,22 +37,26 @@ def prepare(df: DataFrame, key: str, tokens: Column, scope: Column | None = None
 
 
 def pairs(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b, j): pairs a < b of one scope with a Jaccard similarity of at least `similarity`.
-
-    Exact: two sets that alike share a shingle among the rarest of each, n - ceil(similarity * n) + 1 of n, so only
-    those are joined; the frequent shingles that most sets share are never. Sizes are tested in the join, sets after it."""
-    each = members.select("id", "scope", F.size("s").alias("n"), F.explode("s").alias("g"))
-    known = each.groupBy("scope", "g").agg(F.count("*").alias("f")).where("f > 1")
-    ranked = each.join(known, ["scope", "g"]).groupBy("id", "scope", "n").agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("r"))
-    # shingles of one set alone are the rarest of all; they count in the prefix though no other set has them
-    take = F.col("n") - F.ceil(F.lit(similarity) * F.col("n")) + 1 - (F.col("n") - F.size("r"))
-    prefix = ranked.where(take > 0).select("id", "scope", "n", F.explode(F.slice("r", F.lit(1), F.greatest(take, F.lit(1)).cast("int"))).alias("e")).select("id", "scope", "n", F.col("e.g").alias("g"))
-    x, y = prefix.alias("x"), prefix.alias("y")
-    near = (F.col("x.id") < F.col("y.id")) & (F.least("x.n", "y.n") >= F.lit(similarity) * F.greatest("x.n", "y.n"))
-    met = x.join(y, (F.col("x.scope") == F.col("y.scope")) & (F.col("x.g") == F.col("y.g")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    sa, sb = members.select(F.col("id").alias("a"), F.col("s").alias("sa")), members.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    out = met.join(sa, "a").join(sb, "b").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("j"))
-    return out.where(F.col("j") >= similarity)
+    """(a, b, j): pairs a < b of one scope with a Jaccard similarity of at least `similarity`; exact.
+
+    Equal sets of a scope are one class, of which setjoin compares the first; its pairs are then written out for all
+    members. So a class of copies costs no more than the rows it gives."""
+    members = members.where(F.size("s") > 0)
+    first, copies, total = setjoin.classes(members)
+    found = setjoin.alike(first, total, similarity)
+    spread = F.broadcast if (n := copies.count()) <= setjoin.BROADCAST else lambda t: t
+    if not n:
+        return found
+    own = copies.select(F.col("first").alias("of"), "id").unionAll(copies.select(F.col("first").alias("of"), F.col("first").alias("id")).distinct())
+    for side in ("a", "b"):
+        also = own.select(F.col("of").alias(side), F.col("id").alias("to"))
+        found = found.join(spread(also), side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+    salts = 16  # a large class is dealt over as many tasks
+    x = own.select("of", "id", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).repartition(min(2000, n // 2000 + 1), "of", "salt")
+    y = own.select("of", F.col("id").alias("other"))
+    met = x.join(spread(y), "of") if n <= setjoin.BROADCAST else x.join(y.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>"))), ["of", "salt"])
+    same = met.where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"), F.lit(1.0).alias("j"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "j").unionAll(same)
 
 
 def linked(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dissona.functions import bounds, strings
-from dissona.operators import agreement, assoc, bags, components, hierarchy, ordered, setsim, swaps
+from dissona.operators import agreement, assoc, bags, components, hierarchy, ordered, setjoin, setsim, swaps
 
 
 def test_components_of_random_graphs(spark):
@@ -153,3 +153,49 @@ def test_strings(spark):
     assert one(strings.path_kept(F.lit("a/b/c.py"), ["a/**"], ["**/c.*"])) is False and one(strings.path_kept(F.lit("a/b/d.py"), ["a/**"], ["**/c.*"])) is True
     assert one(strings.cfg_form(F.lit("#[cfg( not(unix) )]"))) == "not(unix)" and one(strings.cfg_form(F.lit("#[cfg_attr(a, b)]"))) is None
     assert tuple(one(strings.verdict(F.lit('```json\n{"verdict": "Uncertain", "confidence": 3}\n```')))) == ("Uncertain", 1.0, "")
+
+
+def near_copies(n_scopes=2):
+    """Groups of edited copies of one text, exact copies of some of them and unlike texts, in scopes."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(400)}"
+    rows = []
+    for _ in range(3):
+        base = [word() for _ in range(60)]
+        for _ in range(40):
+            t = list(base)
+            for _ in range(rng.randrange(0, 9)):
+                t[rng.randrange(len(t))] = word()
+            rows.append(" ".join(t))
+    rows += [" ".join(word() for _ in range(50)) for _ in range(30)] + rows[:25] + rows[:5] * 4
+    return [(i * 7 - 300, f"s{rng.randrange(n_scopes)}", t) for i, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize("room", [0, 8, 1e9])
+def test_pairs_of_near_copies_and_copies_by_hubs_equal_brute_force(spark, monkeypatch, room):
+    data = near_copies()
+    members = setsim.prepare(spark.createDataFrame(data, "id long, scope string, text string"), "id", setsim.word_tokens(F.col("text")), F.col("scope"))
+    sets = {i: (sc, {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)}) for i, sc, t in data}
+    want = {}
+    for a, (p, x) in sets.items():
+        for b, (q, y) in sets.items():
+            if a < b and p == q and 2 * len(x & y) >= len(x | y):
+                want[a, b] = round(len(x & y) / len(x | y), 9)
+    monkeypatch.setattr(setjoin, "ROOM", room)
+    monkeypatch.setattr(setjoin, "SIDE", 16)
+    got = setsim.pairs(members).collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]): round(r["j"], 9) for r in got} == want
+    edges = spark.createDataFrame(list(want), "a long, b long")
+    assert sorted(setsim.groups(setsim.linked(members)).collect()) == sorted(setsim.groups(edges).collect())
+
+
+def test_large_classes_of_copies_are_compared_once(spark, monkeypatch):
+    """900 copies of one text: its shingles are met once, not 900 x 900 times each."""
+    text = " ".join(f"t{k}" for k in range(300))
+    df = spark.createDataFrame([(i, text) for i in range(900)] + [(900, text + " x")], "id long, text string")
+    met = []
+    real = setjoin.verified
+    monkeypatch.setattr(setjoin, "verified", lambda m, *a: met.append(m.count()) or real(m, *a))
+    members = setsim.prepare(df, "id", setsim.word_tokens(F.col("text")))
+    assert setsim.pairs(members).count() == 901 * 900 // 2
+    assert sum(met) == 1
