@@ -108,9 +108,17 @@ def identical_forms(df: DataFrame, key: str, text: Column, least: int = MIN_TOKE
 
 
 def shared_prefix(met: DataFrame, texts: DataFrame, least_bytes: int = 20) -> DataFrame:
-    """(a, b, shared_lines, shared_bytes): pairs whose first lines are equal, of at least so many bytes, and that differ later."""
-    la, lb = texts.select(F.col("id").alias("a"), F.split("text", "\n").alias("la")), texts.select(F.col("id").alias("b"), F.split("text", "\n").alias("lb"))
+    """(a, b, shared_lines, shared_bytes): pairs whose first lines are equal, of at least so many bytes, and that differ later.
+
+    Lines are compared by their 64-bit hashes; pairs of equal texts or of unequal first lines go before lines are joined."""
+    lines = F.split("text", "\n")
+    t = texts.where("text IS NOT NULL").select("id", F.struct(F.octet_length("text"), F.xxhash64("text")).alias("all"), F.transform(lines, lambda x: F.xxhash64(x)).alias("l"), F.transform(lines, F.octet_length).alias("size"))
+    t = stored(t.withColumn("one", F.get("l", F.lit(0))), "lines")
+    for side in ("a", "b"):
+        met = met.select("a", "b", *([] if side == "a" else ["alla", "onea"])).join(t.select(F.col("id").alias(side), F.col("all").alias("all" + side), F.col("one").alias("one" + side)), side)
+    met = met.where("onea = oneb AND alla != allb").select("a", "b")
+    la, lb = t.select(F.col("id").alias("a"), F.col("l").alias("la"), "size"), t.select(F.col("id").alias("b"), F.col("l").alias("lb"))
     eq = F.zip_with("la", "lb", lambda x, y: F.coalesce(x == y, F.lit(False)))
-    out = met.select("a", "b").join(la, "a").join(lb, "b").withColumn("k", F.array_position(eq, F.lit(False)) - 1)
-    size = F.aggregate(F.slice("la", F.lit(1), F.greatest(F.col("k"), F.lit(0)).cast("int")), F.lit(0), lambda n, x: n + F.octet_length(x))
-    return out.select("a", "b", F.col("k").alias("shared_lines"), size.cast("long").alias("shared_bytes")).where((F.col("shared_lines") >= 1) & (F.col("shared_bytes") >= least_bytes))
+    out = met.join(la, "a").join(lb, "b").withColumn("k", F.array_position(eq, F.lit(False)) - 1)
+    size = F.aggregate(F.slice("size", F.lit(1), F.greatest(F.col("k"), F.lit(0)).cast("int")), F.lit(0).cast("long"), lambda n, x: n + x)
+    return out.select("a", "b", F.col("k").alias("shared_lines"), size.alias("shared_bytes")).where((F.col("shared_lines") >= 1) & (F.col("shared_bytes") >= least_bytes))

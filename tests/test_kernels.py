@@ -199,3 +199,15 @@ def test_large_classes_of_copies_are_compared_once(spark, monkeypatch):
     members = setsim.prepare(df, "id", setsim.word_tokens(F.col("text")))
     assert setsim.pairs(members).count() == 901 * 900 // 2
     assert sum(met) == 1
+
+
+def test_shared_prefix_moves_no_texts(spark):
+    """Pairs are met by hashes of first lines; texts are not shuffled with each pair."""
+    head = "a first line of more than twenty bytes é"
+    rows = [(0, f"{head}\nx\ny"), (1, f"{head}\nx\nz"), (2, f"{head}\nx\ny"), (3, head), (4, "short\nx"), (5, "short\nq"), (6, None), (7, f"other\n{head}")]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    met = spark.createDataFrame([(a, b) for a in range(8) for b in range(a + 1, 8)], "a long, b long")
+    out = setsim.shared_prefix(met, texts)
+    n = len(head.encode())
+    assert sorted(map(tuple, out.collect())) == sorted([(0, 1, 2, n + 1), (1, 2, 2, n + 1)] + [(a, 3, 1, n) for a in range(3)])
+    assert "text" not in out._jdf.queryExecution().optimizedPlan().toString()
