@@ -90,7 +90,11 @@ def drift(members: DataFrame, grouped: DataFrame, forms: DataFrame) -> DataFrame
     g = g.where(~((F.col("size") == 3) & (F.col("top.len") <= MIN_TOKENS + LENGTH_BUFFER)))
     g = g.select(F.col("component").alias("group_id"), F.col("odd.first").alias("drifted"), (-F.col("top.neg")).alias("exemplar"), F.col("size").cast("long").alias("group_size"), F.col("top.c").alias("majority"), F.col("odd.len").alias("la"), F.col("top.len").alias("lb"))
     g = g.where((F.col("majority") >= LENGTH_FLOOR) | (F.abs(F.col("la") - F.col("lb")) / F.greatest("la", "lb") <= LENGTH_IMBALANCE))
-    sa, sb = members.select(F.col("id").alias("drifted"), F.col("s").alias("sa")), members.select(F.col("id").alias("exemplar"), F.col("s").alias("sb"))
+    g = stored(g, "drifted")
+    wanted = g.select(F.col("drifted").alias("id")).unionAll(g.select(F.col("exemplar").alias("id"))).distinct()
+    few = wanted.count() <= setjoin.BROADCAST  # the sets of all others are not moved
+    m = stored(members.select("id", "s").join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), "wanted")
+    sa, sb = m.select(F.col("id").alias("drifted"), F.col("s").alias("sa")), m.select(F.col("id").alias("exemplar"), F.col("s").alias("sb"))
     out = g.join(sa, "drifted").join(sb, "exemplar").withColumn("j", jaccard(F.col("sa"), F.col("sb"))).where(F.col("j") >= NEAR_DUPLICATE)
     return out.select("group_id", "drifted", "exemplar", "group_size", "majority", F.round("j", 6).alias("j"))
 

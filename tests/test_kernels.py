@@ -211,3 +211,12 @@ def test_shared_prefix_moves_no_texts(spark):
     n = len(head.encode())
     assert sorted(map(tuple, out.collect())) == sorted([(0, 1, 2, n + 1), (1, 2, 2, n + 1)] + [(a, 3, 1, n) for a in range(3)])
     assert "text" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_drift_moves_only_the_sets_it_compares(spark):
+    rows = [(i, "a" if i < 3 else "b", " ".join(f"t{k}" for k in range(40 if i < 3 else 42))) for i in range(4)]
+    df = spark.createDataFrame(rows, "id long, form string, text string")
+    m = setsim.prepare(df, "id", setsim.word_tokens(F.col("text")))
+    out = setsim.drift(m, setsim.groups(setsim.linked(m)), df.select("id", "form"))
+    assert [r["drifted"] for r in out.collect()] == [3]
+    assert "-shingles" not in "".join(out.inputFiles()) and "-wanted" in "".join(out.inputFiles())
