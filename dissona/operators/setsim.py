@@ -62,10 +62,8 @@ def pairs(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def linked(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): enough pairs over `similarity` to join what they join. Equal sets of a scope are one class: its members
     are tied to its first, and only the first ones are compared, so copies never make pairs with each other."""
-    m = members.withColumn("form", F.sort_array("s"))
-    first = stored(m.groupBy("scope", "form").agg(F.min("id").alias("id"), F.count("*").alias("n")), "forms")
-    copies = m.join(first.where("n > 1").select("scope", "form", F.col("id").alias("b")), ["scope", "form"]).where("id != b").select(F.col("id").alias("a"), "b")
-    return pairs(first.select("id", "scope", F.col("form").alias("s")), similarity).select("a", "b").unionAll(copies)
+    first, copies, total = setjoin.classes(members)
+    return setjoin.ties(first.where(F.size("s") > 0), total, similarity).unionAll(copies.select(F.col("id").alias("a"), F.col("first").alias("b")))
 
 
 def groups(linked: DataFrame) -> DataFrame:

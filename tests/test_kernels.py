@@ -220,3 +220,15 @@ def test_drift_moves_only_the_sets_it_compares(spark):
     out = setsim.drift(m, setsim.groups(setsim.linked(m)), df.select("id", "form"))
     assert [r["drifted"] for r in out.collect()] == [3]
     assert "-shingles" not in "".join(out.inputFiles()) and "-wanted" in "".join(out.inputFiles())
+
+
+def test_linked_compares_near_copies_with_their_hub(spark, monkeypatch):
+    """120 near copies: pairs met grow with the copies, not with their square."""
+    text = [f"t{k}" for k in range(200)]
+    df = spark.createDataFrame([(i, " ".join([*text, f"u{i}", f"v{i}", f"w{i}"])) for i in range(120)], "id long, text string")
+    m = setsim.prepare(df, "id", setsim.word_tokens(F.col("text")))
+    met = []
+    real = setjoin.verified
+    monkeypatch.setattr(setjoin, "verified", lambda x, *a: met.append(x.count()) or real(x, *a))
+    assert [r["component"] for r in setsim.groups(setsim.linked(m)).collect()] == [0] * 120
+    assert sum(met) == 119
