@@ -232,3 +232,19 @@ def test_linked_compares_near_copies_with_their_hub(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "verified", lambda x, *a: met.append(x.count()) or real(x, *a))
     assert [r["component"] for r in setsim.groups(setsim.linked(m)).collect()] == [0] * 120
     assert sum(met) == 119
+
+
+def test_baskets_do_not_meet_themselves(spark):
+    """What meets in a basket is found in its one row: baskets are never joined with baskets."""
+    tx = [(i, x) for i in range(30) for x in ("a", "b", f"z{i}")] + [(30, "a"), (31, "b"), (31, "c"), (31, "c")]
+    b = assoc.baskets(spark.createDataFrame(tx, "tid long, item string"), F.col("tid"), F.col("item"))
+    for b in (b, assoc.without(b, spark.createDataFrame([("c",)], "item string"))):
+        found = assoc.rules(b, cardinality=1.0)
+        assert {tuple(r)[:3] for r in found.collect()} == {("a", "b", 30), ("b", "a", 30)}
+        plans = [found, assoc.supporters(b, found, 3), assoc.violations(b, found)]
+        got = {(r["lhs"], tuple(r["related"]), r["related_capped"]) for r in plans[1].collect()}
+        assert got == {("a", (0, 1, 2), True), ("b", (0, 1, 2), True)}
+        assert {(r["tid"], r["lhs"]) for r in plans[2].collect()} == {(30, "a"), (31, "b")}
+        for p in plans:
+            text = p._jdf.queryExecution().optimizedPlan().toString()
+            assert "LeftSemi" not in text and "LeftAnti" not in text and "tid#" not in "".join(x for x in text.splitlines() if "Join Inner" in x)
