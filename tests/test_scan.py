@@ -72,3 +72,11 @@ def test_nothing_to_scan(spark, files):
     assert scan.scan(files.limit(0)).count() == 0
     odd = spark.createDataFrame([("n.py", None, "python"), ("m.py", "\0", "python"), ("q.py", "", "python")], "path string, source string, language string")
     assert [r["parse_recovered"] for r in code.units(odd).orderBy("path").collect()] == [True, True, False]
+
+
+def test_files_are_parsed_by_more_tasks_than_their_bytes_make(spark):
+    from dissona.sources.code import units
+
+    rows = [(f"p{i}.py", "python", "def f(a):\n    return a\n") for i in range(64)]
+    files = spark.createDataFrame(rows, "path string, language string, source string").groupBy("path", "language").agg(F.max("source").alias("source"))
+    assert units(files).select(F.spark_partition_id().alias("p")).distinct().count() >= 8
